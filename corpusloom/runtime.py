@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def bound_arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't pile up in a Python worker."""
+    """Keep Arrow batches small, so that long texts don't pile up in a Python worker.
+
+    Workers also get this package's place, for sessions started elsewhere than in the repository.
+    """
+    home, path = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, home) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
