@@ -151,8 +151,10 @@ class PrefixBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-#: One for each worker process: workers are used again by later tasks, which then know their words.
-shared = functools.lru_cache(maxsize=2)(PrefixBpe)
+@functools.lru_cache(maxsize=2)
+def shared(path: str) -> PrefixBpe:
+    """One for each worker process: workers are used again by later tasks, which then know their words."""
+    return PrefixBpe(path)
 
 
 def _encoded(docs: DataFrame, vocabulary_path: str, id_col: str, text_col: str, schema: str, types: list[pa.DataType], columns) -> DataFrame:

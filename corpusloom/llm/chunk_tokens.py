@@ -43,5 +43,7 @@ class ChunkTokenizer:
         return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
 
-#: One for each worker process: workers are used again by later tasks, which then know their words.
-shared = functools.lru_cache(maxsize=2)(ChunkTokenizer)
+@functools.lru_cache(maxsize=2)
+def shared(path: str) -> ChunkTokenizer:
+    """One for each worker process: workers are used again by later tasks, which then know their words."""
+    return ChunkTokenizer(path)
