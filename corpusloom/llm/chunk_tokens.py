@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-import array
 import functools
 import itertools
 import re
 
+import numpy as np
+import regex
+
 #: White space as the tokenizer file's \s has it: str.split() without U+001C to U+001F.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
+# Fixed value: the tokenizer file's pattern of words.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 
 class ChunkTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
-    For a tokenizer that drops white space, the ids of a text are those of its white-space chunks in
-    order, so each distinct chunk goes to the library once while it stays in the bounded memory.
+    For a tokenizer that lower-cases, drops white space and marks word ends, the ids of a text are
+    those of its white-space chunks in order, and those of a chunk are those of its words. Chunks
+    and words are remembered within a bound; new words go to the library together, as one text, and
+    their ids are told apart by the word ends.
     """
 
     def __init__(self, path: str, keep: int = 600_000):
@@ -25,12 +32,44 @@ class ChunkTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn_words(self, words: list[str]) -> None:
+        ids = self._ids(" ".join(words))
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(words):
+            whole, at = ids.tobytes(), 0
+            for word, cut in zip(words, (cuts * 4).tolist(), strict=True):
+                self.words[word] = whole[at:cut]
+                at = cut
+        else:
+            for word in words:
+                self.words[word] = self._ids(word).tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = array.array("I", found.ids).tobytes()
+        if len(self.words) > self.keep:
+            self.words = dict(itertools.islice(self.words.items(), self.keep // 2))
+        split = {}
+        for chunk in chunks:
+            if self.special.search(chunk):
+                self.known[chunk] = self._ids(chunk).tobytes()
+            else:
+                split[chunk] = _WORD.findall(chunk.lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk))
+        words = self.words
+        if new := [w for w in dict.fromkeys(w for parts in split.values() for w in parts) if w not in words]:
+            self._learn_words(new)
+        for chunk, parts in split.items():
+            self.known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[c for c in _SPACE.split(t) if c] if _ODD.search(t) else t.split() for t in texts]

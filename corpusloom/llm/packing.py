@@ -14,7 +14,6 @@ one block, however many rows there are.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,63 +40,46 @@ class BlockPacker:
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int):
         if min(max_tokens, max_segments, max_loss) < 1:
             raise ValueError("every limit must be at least 1")
-        self.limits = np.array([max_tokens, max_segments, max_loss], dtype=np.float64)
         self.max_tokens, self.max_segments, self.max_loss = max_tokens, max_segments, max_loss
 
     def pack(self, sizes: list[int], prompts: list[int]) -> list[list[Piece]]:
         done: list[list[Piece]] = []
-        items: dict[tuple[int, int], list[Piece]] = defaultdict(list)  # (tokens, loss) -> pieces of that size
+        items = _Items()
         for d, (n, p) in enumerate(zip(sizes, prompts, strict=True)):
             at = 0
             while at < n:
                 length = self._reach(at, n, p, self.max_tokens, self.max_loss)
-                piece = (d, at, length)
                 if length == self.max_tokens:
-                    done.append([piece])
+                    done.append([(d, at, length)])
                 else:
-                    items[length, self._loss(piece, p)].append(piece)
+                    items.add((d, at, length), loss_of((d, at, length), p))
                 at += length
-        while items:
+        items.settle()
+        while items.count:
             done += self._to_powers(self._fill(items, prompts))
         return done
 
-    @staticmethod
-    def _loss(piece: Piece, prompt: int) -> int:
-        return max(0, piece[1] + piece[2] - max(piece[1], prompt))
-
     @staticmethod
     def _reach(at: int, end: int, prompt: int, tokens: int, loss: int) -> int:
         """Tokens from `at` that room for so many tokens and loss-bearing tokens holds."""
         return min(end - at, tokens, max(0, prompt - at) + loss)
 
-    def _fill(self, items: dict[tuple[int, int], list[Piece]], prompts: list[int]) -> list[Piece]:
-        kinds = sorted(items, reverse=True)
-        size = np.array([(t, 1, x) for t, x in kinds], dtype=np.float64)
-        left = np.array([len(items[k]) for k in kinds])
-        scaled, room, bin_ = size / self.limits, self.limits.copy(), []
-        while True:
-            fits = (left > 0) & (size <= room).all(axis=1)
-            if not fits.any():
-                break
-            k = int(np.argmax(np.where(fits, scaled @ (room / self.limits), -1.0)))
-            bin_.append(items[kinds[k]].pop())
-            left[k] -= 1
-            room -= size[k]
-        for k in [k for k in kinds if not items[k]]:
-            del items[k]
-        if room[1] >= 1 and room[0] >= SHORTEST_CUT:
-            for k in sorted(items, reverse=True):
-                d, at, length = items[k][-1]
-                head = self._reach(at, at + length, prompts[d], int(room[0]), int(room[2]))
-                if head >= SHORTEST_CUT:
-                    items[k].pop()
-                    if not items[k]:
-                        del items[k]
-                    bin_.append((d, at, head))
-                    if head < length:
-                        rest = (d, at + head, length - head)
-                        items[rest[2], self._loss(rest, prompts[d])].append(rest)
-                    break
+    def _fill(self, items: _Items, prompts: list[int]) -> list[Piece]:
+        tokens, segments, loss, bin_ = self.max_tokens, self.max_segments, self.max_loss, []
+        while segments and (k := items.best(tokens, loss, tokens / self.max_tokens**2, segments / self.max_segments**2, loss / self.max_loss**2)) >= 0:
+            piece = items.take(k)
+            bin_.append(piece)
+            tokens, segments, loss = tokens - piece[2], segments - 1, loss - loss_of(piece, prompts[piece[0]])
+        if segments and tokens >= SHORTEST_CUT and items.count:
+            d, at, length = items.take(items.largest())
+            head = self._reach(at, at + length, prompts[d], tokens, loss)
+            head = head if head >= SHORTEST_CUT else 0
+            if head:
+                bin_.append((d, at, head))
+            if head < length:
+                rest = (d, at + head, length - head)
+                items.add(rest, loss_of(rest, prompts[d]))
+                items.settle()
         return bin_
 
     def _to_powers(self, bin_: list[Piece]) -> list[list[Piece]]:
@@ -120,6 +102,55 @@ class BlockPacker:
         return out
 
 
+def loss_of(piece: Piece, prompt: int) -> int:
+    return max(0, piece[1] + piece[2] - max(piece[1], prompt))
+
+
+class _Items:
+    """Items by kind, that is by tokens and loss-bearing tokens; each is one segment."""
+
+    def __init__(self) -> None:
+        self.place: dict[tuple[int, int], int] = {}
+        self.pieces: list[list[Piece]] = []
+        self.count = 0
+        self.size: list[tuple[int, int]] = []
+        self.tokens = self.loss = np.zeros(0)
+
+    def add(self, piece: Piece, loss: int) -> None:
+        k = self.place.setdefault((piece[2], loss), len(self.pieces))
+        if k == len(self.pieces):
+            self.pieces.append([])
+        self.pieces[k].append(piece)
+        self.count += 1
+        if k < len(self.tokens):
+            self.tokens[k], self.loss[k] = self.size[k]
+
+    def settle(self) -> None:
+        """Arrays for kinds that came since; a kind without items is too large for any bin."""
+        if len(self.tokens) < len(self.pieces):
+            self.size = list(self.place)
+            held = [bool(p) for p in self.pieces]
+            self.tokens = np.array([t if h else np.inf for (t, _), h in zip(self.size, held, strict=True)], dtype=np.float64)
+            self.loss = np.array([x if h else np.inf for (_, x), h in zip(self.size, held, strict=True)], dtype=np.float64)
+
+    def best(self, tokens: int, loss: int, by_token: float, by_segment: float, by_loss: float) -> int:
+        """The kind that fits and has the largest dot product with the room; -1 if none fits."""
+        fits = np.flatnonzero((self.tokens <= tokens) & (self.loss <= loss))
+        if not len(fits):
+            return -1
+        return int(fits[np.argmax(self.tokens[fits] * by_token + self.loss[fits] * by_loss + by_segment)])
+
+    def largest(self) -> int:
+        return int(np.argmax(np.where(np.isinf(self.tokens), -1, self.tokens)))
+
+    def take(self, k: int) -> Piece:
+        piece = self.pieces[k].pop()
+        self.count -= 1
+        if not self.pieces[k]:
+            self.tokens[k] = self.loss[k] = np.inf
+        return piece
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -167,7 +198,7 @@ def pack_documents(
                 for piece in pieces:
                     d, at, length = piece
                     own = memoryview(held[d][1])[at * 4 : (at + length) * 4]
-                    row = (held[d][0], at, length, zlib.crc32(own), sizes[d], sequence, offset, whole, packer._loss(piece, prompts[d]))
+                    row = (held[d][0], at, length, zlib.crc32(own), sizes[d], sequence, offset, whole, loss_of(piece, prompts[d]))
                     rows.append((*row, np.frombuffer(own, dtype="<i4")) if with_ids else row)
                     offset += length
                 sequence += 1
