@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
+import unicodedata
 
 import numpy as np
 import regex
@@ -22,11 +23,11 @@ class ChunkTokenizer:
 
     For a tokenizer that lower-cases, drops white space and marks word ends, the ids of a text are
     those of its white-space chunks in order, and those of a chunk are those of its words. Chunks
-    and words are remembered within a bound; new words go to the library together, as one text, and
+    and words are remembered within a bound (a word is the chunk of itself); new words go to the library together, as one text, and
     their ids are told apart by the word ends.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -39,7 +40,6 @@ class ChunkTokenizer:
         self.special = re.compile("|".join(special) or "(?!)")
         self.keep = keep
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -50,36 +50,43 @@ class ChunkTokenizer:
         if len(cuts) == len(words):
             whole, at = ids.tobytes(), 0
             for word, cut in zip(words, (cuts * 4).tolist(), strict=True):
-                self.words[word] = whole[at:cut]
+                self.known[word] = whole[at:cut]
                 at = cut
         else:
             for word in words:
-                self.words[word] = self._ids(word).tobytes()
+                self.known[word] = self._ids(word).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.words) > self.keep:
-            self.words = dict(itertools.islice(self.words.items(), self.keep // 2))
-        split = {}
+    def _words(self, chunk: str) -> list[str]:
+        """A chunk's words as the tokenizer file's normalizer and pattern give them."""
+        body, tail = (chunk[:-1], [chunk[-1]]) if chunk[-1] in ".," else (chunk, [])
+        if body.isalpha() and (body.isascii() or "Σ" not in body and unicodedata.is_normalized("NFC", body)):
+            return [body.lower(), *tail]
+        return _WORD.findall(self.library.normalizer.normalize_str(chunk))
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.known) > self.keep:  # those first seen are the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), self.keep // 2))
+        known, split = self.known, {}
         for chunk in chunks:
             if self.special.search(chunk):
-                self.known[chunk] = self._ids(chunk).tobytes()
+                known[chunk] = self._ids(chunk).tobytes()
             else:
-                split[chunk] = _WORD.findall(chunk.lower() if chunk.isascii() else self.library.normalizer.normalize_str(chunk))
-        words = self.words
-        if new := [w for w in dict.fromkeys(w for parts in split.values() for w in parts) if w not in words]:
-            self._learn_words(new)
-        for chunk, parts in split.items():
-            self.known[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
+                split[chunk] = self._words(chunk)
+        if new := set().union(*split.values()).difference(known):
+            self._learn_words(list(new))
+        for chunk, words in split.items():
+            known[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[c for c in _SPACE.split(t) if c] if _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > self.keep:
-            # those first seen are the frequent ones
-            self.known = dict(itertools.islice(self.known.items(), self.keep // 2))
-        known = self.known
-        if new := [c for c in {c for chunks in split for c in chunks} if c not in known]:
+        distinct = set().union(*split)
+        if new := distinct.difference(self.known):
+            before = self.known
             self._learn(new)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+            if self.known is not before and (new := distinct.difference(self.known)):  # some were let go
+                self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
 
 @functools.lru_cache(maxsize=2)
