@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
+import operator
 import re
 import unicodedata
 
-import numpy as np
 import regex
 
+from corpusloom.llm.bpe import byte_letters
+
 #: White space as the tokenizer file's \s has it: str.split() without U+001C to U+001F.
 _ODD = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -23,70 +26,64 @@ class ChunkTokenizer:
 
     For a tokenizer that lower-cases, drops white space and marks word ends, the ids of a text are
     those of its white-space chunks in order, and those of a chunk are those of its words. Chunks
-    and words are remembered within a bound (a word is the chunk of itself); new words go to the library together, as one text, and
-    their ids are told apart by the word ends.
+    and words are remembered within a bound (a word is the chunk of itself), the first of them in a
+    memory of their own that stays small; new words go to the library's model.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 1_000_000, hot: int = 16_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.tokenize = self.library.model.tokenize
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or "(?!)")
-        self.keep = keep
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.keep, self.most_hot = keep, hot
         self.known: dict[str, bytes] = {}
+        self.hot: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn_words(self, words: list[str]) -> None:
-        ids = self._ids(" ".join(words))
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(words):
-            whole, at = ids.tobytes(), 0
-            for word, cut in zip(words, (cuts * 4).tolist(), strict=True):
-                self.known[word] = whole[at:cut]
-                at = cut
-        else:
-            for word in words:
-                self.known[word] = self._ids(word).tobytes()
+    def _learn_word(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self.known[word] = array.array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        return ids
 
     def _words(self, chunk: str) -> list[str]:
         """A chunk's words as the tokenizer file's normalizer and pattern give them."""
         body, tail = (chunk[:-1], [chunk[-1]]) if chunk[-1] in ".," else (chunk, [])
         if body.isalpha() and (body.isascii() or "Σ" not in body and unicodedata.is_normalized("NFC", body)):
-            return [body.lower(), *tail]
+            low = body.lower()
+            if low.isalpha():
+                return [low, *tail]
         return _WORD.findall(self.library.normalizer.normalize_str(chunk))
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.keep:  # those first seen are the frequent ones
-            self.known = dict(itertools.islice(self.known.items(), self.keep // 2))
-        known, split = self.known, {}
-        for chunk in chunks:
-            if self.special.search(chunk):
-                known[chunk] = self._ids(chunk).tobytes()
-            else:
-                split[chunk] = self._words(chunk)
-        if new := set().union(*split.values()).difference(known):
-            self._learn_words(list(new))
-        for chunk, words in split.items():
-            known[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[c for c in _SPACE.split(t) if c] if _ODD.search(t) else t.split() for t in texts]
-        distinct = set().union(*split)
-        if new := distinct.difference(self.known):
-            before = self.known
-            self._learn(new)
-            if self.known is not before and (new := distinct.difference(self.known)):  # some were let go
-                self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+    def _learn(self, chunk: str) -> bytes:
+        known = self.known
+        if self.special.search(chunk):
+            ids = array.array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        else:
+            ids = b"".join([known[w] if w in known else self._learn_word(w) for w in self._words(chunk)])
+        known[chunk] = ids
+        if len(self.hot) < self.most_hot:
+            self.hot[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        chunks = [c for c in _SPACE.split(text) if c] if _ODD.search(text) else text.split()
+        ids = list(map(self.hot.get, chunks))
+        if None in ids:
+            rare = list(itertools.compress(chunks, map(operator.not_, ids)))
+            more = list(map(self.known.get, rare))
+            if None in more:
+                get, learn = self.known.get, self._learn
+                # a chunk may come again in the same text
+                more = [get(c) or learn(c) if x is None else x for c, x in zip(rare, more, strict=True)]
+                if len(self.known) > self.keep:  # those first seen are the frequent ones
+                    self.known = dict(itertools.islice(self.known.items(), self.keep // 2))
+            fill = iter(more)
+            ids = [next(fill) if x is None else x for x in ids]
+        return b"".join(ids)
 
 
 @functools.lru_cache(maxsize=2)

@@ -209,11 +209,10 @@ def pack_documents(
 
         for batch in batches:
             ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
-            for i in range(0, len(texts), 256):
-                encoded = tokenizer.encode(texts[i : i + 256])
-                for doc_id, own, p in zip(ids[i : i + 256], encoded, prompts[i : i + 256], strict=True):
-                    held.append((doc_id, own + end, p))
-                    tokens += len(own) // 4 + 1
+            for doc_id, text, p in zip(ids, texts, prompts, strict=True):
+                own = tokenizer.encode(text)
+                held.append((doc_id, own + end, p))
+                tokens += len(own) // 4 + 1
                 if tokens >= BLOCK_TOKENS:
                     yield flush()
                     held.clear()
