@@ -26,7 +26,9 @@ from corpusloom.runtime import bound_arrow_batches
 SAMPLE_PER_LABEL = 8_000
 #: Terms that the model knows at most, and standard deviations by which their shares must differ.
 MAX_TERMS, CHANCE = 4_096, 4.5
-FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 30, 128, 0.1, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 40, 128, 0.5, 1e-5
+#: Lengths of the beginnings that count as terms beside whole words.
+STEMS = (5, 7)
 #: Pair weights start small, so that linear ones come first.
 SPREAD = 0.02
 NO_MODEL_SCORE = 0.0
@@ -35,9 +37,11 @@ _TERM = re.compile(r"[^\W\d_]+")
 
 
 def hashed_terms(text: str) -> set[int]:
-    """Distinct terms of the whole text, hashed."""
+    """Distinct terms of the whole text, hashed: its words, and the beginnings that words share."""
     digest = xxhash.xxh32_intdigest
-    return {digest(t) for t in set(_TERM.findall(text.lower()))}
+    words = set(_TERM.findall(text.lower()))
+    begun = {w[:n] for n in STEMS for w in words if len(w) > n}
+    return {digest(w) for w in words} | {digest(b, 1) for b in begun}
 
 
 @dataclass
