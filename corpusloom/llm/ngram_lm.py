@@ -6,8 +6,8 @@ says no. No count is ever lost or read too low; a false positive reads it a leve
 
 Tokenised blocks of documents send what they hold to segments by hash, once: each distinct word with
 its occurrences by document, and each distinct bigram of the training documents. A word segment
-knows the exact training counts of its words; it returns to every document its share of the base
-score, and writes the filter's unigrams. A bigram segment writes the filter's bigrams. The filter,
+knows the exact training counts of its words; it returns to every block its documents' shares of the
+base score, and writes the filter's unigrams. A bigram segment writes the filter's bigrams. The filter,
 whose size is checked, is broadcast, and a second pass over the texts scores them:
 
     p(w | u) = (c(u w) + MASS * p(w)) / (c(u) + MASS),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _dealt(block: _Block, rows: list[tuple], n_words: int, n_pairs: int) -> Iterator[tuple[int, int, bytes]]:
+def _dealt(number: int, block: _Block, rows: list[tuple], n_words: int, n_pairs: int) -> Iterator[tuple[int, int, bytes]]:
     """What a block sends to each segment. rows: (key, held_out)."""
     ids, doc, before, hashes = block.arrays()
     keys = np.array([r[0] for r in rows], dtype="<i8")
@@ -208,7 +209,7 @@ def _dealt(block: _Block, rows: list[tuple], n_words: int, n_pairs: int) -> Iter
         if a < b:
             own, first, each = np.unique(word[a:b], return_index=True, return_counts=True)
             present, place = np.unique(where[a:b], return_inverse=True)
-            yield _WORDS, s, _packed(hashes[own], in_train[own].astype("<u4"), each.astype("<u4"), place.astype("<u2"), times[a:b].astype("<u4"), keys[present])
+            yield _WORDS, s, _packed(hashes[own], in_train[own].astype("<u4"), each.astype("<u4"), place.astype("<u2"), times[a:b].astype("<u4"), keys[present], np.array([number], dtype="<i8"))
     pairs, times = np.unique((before * len(hashes) + ids)[learned], return_counts=True)
     both = pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
     to = (both % np.uint64(n_pairs)).astype(np.int64)
@@ -220,7 +221,7 @@ def _dealt(block: _Block, rows: list[tuple], n_words: int, n_pairs: int) -> Iter
             yield _PAIRS, s, _packed(both[cuts[s] : cuts[s + 1]], times[cuts[s] : cuts[s + 1]])
 
 
-_SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("payload", pa.binary())])
+_SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("block", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("payload", pa.binary())])
 
 
 def _segment(group: pa.Table) -> pa.Table:
@@ -232,23 +233,31 @@ def _segment(group: pa.Table) -> pa.Table:
         hashes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]))
         return pa.Table.from_pylist([{"kind": kind, "segment": segment, "tokens": 0, "distinct": len(hashes), "payload": write_filter(hashes, counts).tobytes()}], _SEGMENT_SCHEMA)
-    parts = [_unpacked(b, "<u8", "<u4", "<u4", "<u2", "<u4", "<i8") for b in blobs]
+    parts = [_unpacked(b, "<u8", "<u4", "<u4", "<u2", "<u4", "<i8", "<i8") for b in blobs]
     hashes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     known = counts > 0
     rows = [{"kind": kind, "segment": segment, "tokens": int(counts.sum()), "distinct": int(known.sum()), "payload": write_filter(hashes[known], counts[known]).tobytes()}]
     log, at = np.log10(counts + 0.5), 0
-    for own, _, each, place, times, keys in parts:
+    for own, _, each, place, times, keys, number in parts:
         of = inverse[at : at + len(own)]
         at += len(own)
         of = np.repeat(of, each)
         sums = np.bincount(place, weights=times * log[of], minlength=len(keys))
         seen = np.bincount(place, weights=times * known[of], minlength=len(keys)).astype("<i8")
         all_ = np.bincount(place, weights=times, minlength=len(keys)).astype("<i8")
-        rows.append({"kind": -1, "segment": segment, "tokens": 0, "distinct": 0, "payload": _packed(keys, sums, seen, all_)})
+        rows.append({"kind": -1, "segment": segment, "block": int(number[0]), "tokens": 0, "distinct": 0, "payload": _packed(keys, sums, seen, all_)})
     return pa.Table.from_pylist(rows, _SEGMENT_SCHEMA)
 
 
+def _shares(group: pa.Table) -> pa.Table:
+    """Sums over the word segments for each document of a block."""
+    parts = [_unpacked(b.as_py(), "<i8", "<f8", "<i8", "<i8") for b in group.column("payload")]
+    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [np.bincount(inverse, weights=np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)]
+    return pa.table({"k": pa.array(keys), "sum": pa.array(sums[0]), "known": pa.array(sums[1].astype(np.int64)), "n": pa.array(sums[2].astype(np.int64))})
+
+
 def _folded(segments: DataFrame) -> tuple[list[bytes], list[bytes]]:
     """Filters of the word and bigram segments, within MAX_FILTER_BYTES together."""
     filters = segments.filter("kind >= 0")
@@ -284,12 +293,13 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_words, n_pairs = 1 + chars // WORD_SEGMENT_CHARS, 1 + chars // PAIR_SEGMENT_CHARS
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, own in _blocks(batches):
-            sent = list(_dealt(block, own, n_words, n_pairs))
+        first = TaskContext.get().partitionId() << 32
+        for i, (block, own) in enumerate(_blocks(batches)):
+            sent = list(_dealt(first + i, block, own, n_words, n_pairs))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], ["kind", "segment", "payload"])
 
     dealt = rows.select("key", "held_out", "text").mapInArrow(deal, "kind int, segment int, payload binary")
-    segments = durable(dealt.groupBy("kind", "segment").applyInArrow(_segment, "kind int, segment int, tokens long, distinct long, payload binary"))
+    segments = durable(dealt.groupBy("kind", "segment").applyInArrow(_segment, "kind int, segment int, block long, tokens long, distinct long, payload binary"))
     totals = segments.filter(F.col("kind") == _WORDS).agg(F.sum("tokens"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
     model = spark.sparkContext.broadcast(CountFilter(*_folded(segments)))
@@ -309,13 +319,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             columns = [pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "key", "held_out", "n_tokens", "score"])
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(payload, "<i8", "<f8", "<i8", "<i8")], ["k", "sum", "known", "n"])
-
     scored = rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, score double")
-    shared = segments.filter("kind = -1").select("payload").mapInArrow(shares, "k long, sum double, known long, n long")
+    shared = segments.filter("kind = -1").select("block", "payload").groupBy("block").applyInArrow(_shares, "k long, sum double, known long, n long")
     shared = shared.groupBy("k").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), F.sum("n").alias("n"))
     both = scored.join(shared, F.col("key") == F.col("k"), "left")
     copies = F.col("n") / F.col("n_tokens")  # rows with the same id and text were summed together
