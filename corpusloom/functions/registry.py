@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import inspect
+import unicodedata
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,6 @@ def normalize(column, *steps: str | dict):
 
 def register_sql(spark: SparkSession) -> None:
     """SQL functions: expressions over columns as SQL macros need no registering; these need Python."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def sentences(texts: pd.Series) -> pd.Series:
@@ -78,8 +79,6 @@ def register_sql(spark: SparkSession) -> None:
 
     @F.pandas_udf("string")
     def nfc(texts: pd.Series) -> pd.Series:
-        import unicodedata
-
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
     spark.udf.register("sentences", sentences)

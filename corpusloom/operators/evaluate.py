@@ -110,8 +110,9 @@ def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
 
 def pearson(rows: DataFrame, a: str, b: str) -> DataFrame:
     """n and the correlation, 0 where it isn't defined."""
-    r = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0)).alias("r"))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    r = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(r, F.lit(0.0)).alias("r"))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
