@@ -41,15 +41,18 @@ def structural_pairs(documents: DataFrame, *, anchor_at_least: int = 8, positive
 
 
 def _finish(rows: DataFrame, overlap_at_most: float, overlap_first: bool, reversed_overlap: bool = False, key: Column | None = None) -> DataFrame:
-    """Overlap of the rows that are open, the overlap rule and the repeat rule in the miner's order."""
+    """Overlap of the rows that are open, the overlap rule and the repeat rule in the miner's order.
+
+    Where overlap comes first it still needs no computing before repeats are known: rows with one key
+    have one overlap, so repeats of a pair that overlaps too much are just renamed.
+    """
     sides = (F.col("positive"), F.col("anchor")) if reversed_overlap else (F.col("anchor"), F.col("positive"))
-    rows = rows.withColumn("overlap", F.when(F.col(REASON).isNull(), text.overlap(*sides)))
-    rule: Rules = [("overlap", F.col("overlap") > overlap_at_most)]
     key = F.concat_ws("\0", "anchor", "positive") if key is None else key
-    order = [F.col(c) for c in ORDER]
-    if overlap_first:
-        return reject_repeats(judge(rows, rule), key, order)
-    return judge(reject_repeats(rows, key, order), rule)
+    rows = reject_repeats(rows, key, [F.col(c) for c in ORDER])
+    needed = F.col(REASON).isNull() | (F.col(REASON) == "duplicate") if overlap_first and overlap_at_most < 1 else F.col(REASON).isNull()
+    rows = rows.withColumn("overlap", F.when(needed, text.overlap(*sides)))
+    too_much = F.col("overlap") > overlap_at_most
+    return rows.withColumn(REASON, F.when(needed & too_much, F.lit("overlap")).otherwise(F.col(REASON)))
 
 
 def question_answers(rows: DataFrame, *, question_at_least: int = 8, answer_at_least: int = 20, boilerplate_from: int = 50, overlap_at_most: float = 0.7) -> DataFrame:

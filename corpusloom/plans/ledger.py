@@ -31,14 +31,14 @@ def judge(df: DataFrame, rules: Rules) -> DataFrame:
 def reject_repeats(df: DataFrame, key: Column, order: list[Column], name: str = "duplicate") -> DataFrame:
     """Of rows with one key that no rule has hit so far, all but the first are repeats.
 
-    The first is an aggregate with map-side combining, joined back on the key's hash: a key with a
-    great share of all rows is combined before the shuffle, and the join can be split by AQE.
+    The first is an aggregate with map-side combining, so a key with a great share of all rows is
+    combined before the shuffle; only keys that repeat are joined back, and AQE can split that join.
     """
-    place = F.struct(*order)
-    open_ = df.filter(F.col(REASON).isNull()).withColumn("__key", F.sha2(key.cast("binary"), 256)).withColumn("__place", place)
-    first = open_.groupBy("__key").agg(F.min("__place").alias("__first"))
-    marked = open_.join(first, "__key").withColumn(REASON, F.when(F.col("__place") != F.col("__first"), F.lit(name))).select(*df.columns)
-    return marked.unionByName(df.filter(F.col(REASON).isNotNull()))
+    marked = df.withColumn("__key", F.when(F.col(REASON).isNull(), F.sha2(key.cast("binary"), 256))).withColumn("__place", F.struct(*order))
+    groups = marked.filter("__key is not null").groupBy(F.col("__key").alias("__k")).agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+    joined = marked.join(groups.filter("__n > 1"), F.col("__key") == F.col("__k"), "left")
+    repeat = F.col("__first").isNotNull() & (F.col("__place") != F.col("__first"))
+    return joined.withColumn(REASON, F.coalesce(REASON, F.when(repeat, F.lit(name)))).select(*df.columns)
 
 
 def accepted(df: DataFrame) -> DataFrame:
