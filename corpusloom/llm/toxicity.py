@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import bound_arrow_batches
+from corpusloom.runtime import bound_arrow_batches, durable
 
 #: Rows of each label that the model is fitted on at most: the bound of what goes to the driver.
 SAMPLE_PER_LABEL = 8_000
@@ -81,13 +81,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if len(counts) < 2:
         return Machine()
     sample = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LABEL).collect()]
-    chosen = docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in sample], "id long, y int")  # 2 * SAMPLE_PER_LABEL rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("y", "text")
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r["id"], r["y"]) for r in sample], "id long, y int")  # 2 * SAMPLE_PER_LABEL rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = durable(texts.join(F.broadcast(chosen), "id").select("y", "text"))
+    sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return Machine()
+    terms = distinctive_terms(texts, sizes[1], sizes[0])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [np.sort(np.fromiter(hashed_terms(t), dtype="<u4")).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, type=pa.binary())], ["y", "terms"])
+            known = [np.array(sorted(hashed_terms(t) & terms), dtype="<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, type=pa.binary())], ["y", "terms"])
 
     rows = texts.mapInArrow(extract, "y int, terms binary").collect()
     rows.sort(key=lambda r: (r["y"], bytes(r["terms"])))
@@ -95,6 +101,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(found, np.array([r["y"] for r in rows], dtype=np.float64), counts)
 
 
+def distinctive_terms(texts: DataFrame, n1: int, n0: int) -> set[int]:
+    """Of all terms of the sample (y, text; n1 and n0 rows of each label), those whose share among the
+    labels differs by more than chance explains, the MAX_TERMS that do most. Counted where the texts
+    are; only the terms that are kept go to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.fromiter(hashed_terms(t), dtype=np.int64) for t in batch.column(1).to_pylist()]
+            if found:
+                y = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+                terms, inverse = np.unique(np.concatenate(found), return_inverse=True)
+                all_ = np.bincount(inverse, minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(inverse, weights=y, minlength=len(terms)).astype(np.int64)), pa.array(all_.astype(np.int64))], ["term", "in1", "n"])
+
+    counted = texts.mapInArrow(count, "term long, in1 long, n long").groupBy("term").agg(F.sum("in1").alias("in1"), F.sum("n").alias("n"))
+    share = F.col("n") / F.lit(n1 + n0)
+    spread = F.sqrt(F.greatest(share * (1 - share) * F.lit(n1 * n0 / (n1 + n0)), F.lit(1e-9)))
+    counted = counted.withColumn("chance", F.abs(F.col("in1") - share * n1) / spread).filter(F.col("chance") >= CHANCE)
+    return {r["term"] for r in counted.orderBy(F.desc("chance"), "term").limit(MAX_TERMS).select("term").collect()}
+
+
 def _training_sql(name: str) -> str:
     return f"crc32(cast(cast({name} as string) as binary)) % 5 != 0"
 
@@ -105,19 +132,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Mach
     n0 = len(y) - n1
     if not n0 or not n1:
         return Machine()
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, column = np.unique(np.concatenate(rows), return_inverse=True) if len(owner) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
-    in1 = np.bincount(column, weights=y[owner], minlength=len(terms))
-    all_ = np.bincount(column, minlength=len(terms)).astype(np.float64)
-    share = all_ / len(y)
-    chance = np.abs(in1 - share * n1) / np.sqrt(np.maximum(share * (1 - share) * n1 * n0 / len(y), 1e-9))
-    kept = np.flatnonzero(chance >= CHANCE)
-    kept = np.sort(kept[np.argsort(-chance[kept], kind="stable")][:MAX_TERMS])
-    place = np.full(len(terms), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[column] >= 0
-    owner, column = owner[use], place[column[use]]
-    begin = np.searchsorted(owner, np.arange(len(rows) + 1))
+    begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    kept, column = np.unique(np.concatenate(rows), return_inverse=True) if begin[-1] else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     random = np.random.default_rng(7)
     w, v, w0 = np.zeros(len(kept)), random.normal(0, SPREAD, (len(kept), FACTORS)), math.log(n1 / n0)
@@ -148,7 +164,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Mach
             v -= RATE * 0.3 * pair / np.sqrt(gv)
     # the sample has the labels in other shares than the table
     w0 += math.log(counts[1] / counts[0]) - math.log(n1 / n0)
-    return Machine({int(t): i for i, t in enumerate(terms[kept])}, w0, w, v, True)
+    return Machine({int(t): i for i, t in enumerate(kept)}, w0, w, v, True)
 
 
 def scorer(machine: Machine):
