@@ -37,9 +37,9 @@ BASE, FIRST_PROBES, MORE_PROBES = 1.5, 6, 2
 MASS = 20.0
 #: Bound of the filter that is broadcast. Above it, every segment's filter is folded to half its
 #: size until all fit: reads stay whole, false positives grow.
-MAX_FILTER_BYTES = 128 << 20
+MAX_FILTER_BYTES = 96 << 20
 #: Characters of input to one word segment and to one bigram segment, and tokens of a block.
-WORD_SEGMENT_CHARS, PAIR_SEGMENT_CHARS = 64_000_000, 16_000_000
+WORD_SEGMENT_CHARS, PAIR_SEGMENT_CHARS = 64_000_000, 8_000_000
 BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
 
 _END = b""  # no word is empty
@@ -108,15 +108,17 @@ def fold(filter_: np.ndarray, size: int) -> np.ndarray:
 
 
 class CountFilter:
-    """Segments of filters in one array."""
+    """Segments of filters in one array: of `n_words` word segments, then of the bigram segments."""
 
-    def __init__(self, words: list[bytes], pairs: list[bytes]):
-        parts = [np.frombuffer(b, dtype=np.uint8) for b in (*words, *pairs)]
-        self.bits = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, n_words: int):
+        self.bits, self.n_words, self.n_pairs = bits, n_words, len(sizes) - n_words
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         self.mask = (sizes * 8 - 1).astype(np.uint64)
-        self.n_words, self.n_pairs = len(words), len(pairs)
+
+    @classmethod
+    def of(cls, words: list[bytes], pairs: list[bytes]) -> CountFilter:
+        parts = [np.frombuffer(b, dtype=np.uint8) for b in (*words, *pairs)]
+        return cls(np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64), len(words))
 
     def counts(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         n = self.n_words if kind == _WORDS else self.n_pairs
@@ -224,14 +226,23 @@ def _dealt(number: int, block: _Block, rows: list[tuple], n_words: int, n_pairs:
 _SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("block", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("payload", pa.binary())])
 
 
+def _counted(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes with the sums of their counts."""
+    hashes = np.concatenate([p[0] for p in parts])
+    counts = np.concatenate([p[1] for p in parts])
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.add.reduceat(counts, first, dtype=np.int64)
+
+
 def _segment(group: pa.Table) -> pa.Table:
     """A segment's filter; a word segment's shares of the base score too, one row per block (kind -1)."""
     kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
     blobs = [b.as_py() for b in group.column("payload")]
     if kind == _PAIRS:
-        parts = [_unpacked(b, "<u8", "<u4") for b in blobs]
-        hashes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]))
+        hashes, counts = _counted([_unpacked(b, "<u8", "<u4") for b in blobs])
         return pa.Table.from_pylist([{"kind": kind, "segment": segment, "tokens": 0, "distinct": len(hashes), "payload": write_filter(hashes, counts).tobytes()}], _SEGMENT_SCHEMA)
     parts = [_unpacked(b, "<u8", "<u4", "<u4", "<u2", "<u4", "<i8", "<i8") for b in blobs]
     hashes, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -258,24 +269,29 @@ def _shares(group: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(keys), "sum": pa.array(sums[0]), "known": pa.array(sums[1].astype(np.int64)), "n": pa.array(sums[2].astype(np.int64))})
 
 
-def _folded(segments: DataFrame) -> tuple[list[bytes], list[bytes]]:
-    """Filters of the word and bigram segments, within MAX_FILTER_BYTES together."""
-    filters = segments.filter("kind >= 0")
-    sizes = filters.groupBy(F.length("payload").alias("size")).agg(F.count("*").alias("n")).collect()
-    cap = max([r["size"] for r in sizes], default=64)
-    while cap > 64 and sum(min(r["size"], cap) * r["n"] for r in sizes) > MAX_FILTER_BYTES:
+def _gathered(segments: DataFrame, n_words: int, n_pairs: int) -> CountFilter:
+    """The filter of all segments within MAX_FILTER_BYTES, fetched a partition at a time."""
+    filters = segments.filter("kind >= 0").select("kind", "segment", F.length("payload").alias("size"), "payload")
+    sizes = np.full(n_words + n_pairs, 64, dtype=np.int64)  # of a segment that got nothing
+    place = lambda r: r["segment"] + (n_words if r["kind"] == _PAIRS else 0)
+    for r in filters.drop("payload").collect():
+        sizes[place(r)] = r["size"]
+    cap = int(sizes.max())
+    while cap > 64 and np.minimum(sizes, cap).sum() > MAX_FILTER_BYTES:
         cap //= 2
+    sizes = np.minimum(sizes, cap)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             small = [fold(np.frombuffer(b, dtype=np.uint8), min(len(b), cap)).tobytes() for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["kind", "segment", "payload"])
 
-    rows = filters.select("kind", "segment", "payload").mapInArrow(run, "kind int, segment int, payload binary").collect()
-    of = {(r["kind"], r["segment"]): bytes(r["payload"]) for r in rows}
-    empty = bytes(64)
-    count = lambda kind: 1 + max([s for k, s in of if k == kind], default=-1)
-    return tuple([of.get((kind, s), empty) for s in range(count(kind))] for kind in (_WORDS, _PAIRS))
+    bits = np.zeros(int(begin[-1]), dtype=np.uint8)
+    for r in filters.select("kind", "segment", "payload").mapInArrow(run, "kind int, segment int, payload binary").toLocalIterator():
+        at = place(r)
+        bits[begin[at] : begin[at + 1]] = np.frombuffer(r["payload"], dtype=np.uint8)
+    return CountFilter(bits, sizes, n_words)
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS) -> DataFrame:
@@ -302,7 +318,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     segments = durable(dealt.groupBy("kind", "segment").applyInArrow(_segment, "kind int, segment int, block long, tokens long, distinct long, payload binary"))
     totals = segments.filter(F.col("kind") == _WORDS).agg(F.sum("tokens"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
-    model = spark.sparkContext.broadcast(CountFilter(*_folded(segments)))
+    model = spark.sparkContext.broadcast(_gathered(segments, n_words, n_pairs))
     floor = n + 0.5 * (v + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
