@@ -29,16 +29,19 @@ NO_TEXT = set("script style noscript template iframe object svg math canvas audi
 SILENT = set("script style noscript template head title iframe object svg math".split())
 REGION = set("article main section div td body blockquote center form".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
-#: Words in a class or id, and roles, that name what is no article.
+#: Words in a class or id, beginnings of such words, and roles, that name what is no article; the
+#: last only outside one.
 NAMES = set(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay paywall popup promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget widgets".split()
+    "ad ads adsense alert alerts banner banners comment comments commentlist consent disqus gdpr masthead menu menus modal nav navigation notice notices notification notifications outbrain overlay paywall recommended related replies respond share sharing signup skip social subscribe subscription taboola teaser teasers toolbar widget widgets".split()
 )
+BEGIN = tuple("advert breadcrumb cookie footer navbar newsletter popup promo sidebar sponsor".split())
+OUTSIDE = set("header topbar".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
 
 #: Width of the Gaussian, in lines, and how far it reaches.
 SIGMA, RADIUS = 1.0, 3
-#: Share of the dense text that a region has to hold.
-HOLDS = 0.5
+#: Share of the dense text that a region has to hold, and that one article has to for it to be the only one.
+HOLDS, ALONE = 0.5, 0.8
 
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -70,12 +73,13 @@ class _Lines(HTMLParser):
     def _is_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        if tag in NO_TEXT or tag == "header" and not any(n in ("article", "main") for n, _ in self.stack):
+        inside = any(n in ("article", "main") for n, _ in self.stack)
+        if tag in NO_TEXT or tag == "header" and not inside:
             return True
         for name, value in attrs:
             if name in ("class", "id") and value:
-                for part in value.split():
-                    if not NAMES.isdisjoint(_WORD.findall(_CAMEL.sub("-", part).lower())):
+                for word in _WORD.findall(_CAMEL.sub("-", value).lower()):
+                    if word in NAMES or word.startswith(BEGIN) or word in OUTSIDE and not inside:
                         return True
             elif name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
                 return True
@@ -98,9 +102,10 @@ class _Lines(HTMLParser):
         for closed, by in CLOSED_BY.items():
             if tag in by:
                 self._close(closed, until=BLOCK - {closed})
-        if tag == "main":  # never in these: one of them was left open
-            while self.out and any(n in ("nav", "header", "footer", "aside", "form") for n, o in self.stack if o):
-                self._pop()
+        # never in these: one of them was left open, or a form holds the whole page
+        holders = {"main": ("nav", "header", "footer", "aside", "form"), "article": ("form",)}.get(tag)
+        while holders and self.out and all(n in holders for n, o in self.stack if o):
+            self._pop()
         out = self._is_out(tag, attrs)
         self.stack.append((tag, out))
         self.out += out
@@ -169,7 +174,8 @@ def main_text(html: str) -> str:
     # the innermost article, else main, else any region that holds enough of the dense text
     region = None
     for kinds in (("article",), ("main",), REGION):
-        enough = [r for r, n in held.items() if parser.names[r] in kinds and n >= HOLDS * total]
+        share = ALONE if kinds == ("article",) else HOLDS
+        enough = [r for r, n in held.items() if parser.names[r] in kinds and n >= share * total]
         if kinds == ("article",) and not enough:  # several articles on one page: all that are dense
             articles = {r for r in held if parser.names[r] == "article"}
             if sum(len(lines[i][0]) for i in dense if not articles.isdisjoint(lines[i][3])) >= HOLDS * total:
