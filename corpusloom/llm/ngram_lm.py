@@ -40,7 +40,7 @@ MASS = 20.0
 MAX_FILTER_BYTES = 96 << 20
 #: Characters of input to one word segment and to one bigram segment, and tokens of a block.
 WORD_SEGMENT_CHARS, PAIR_SEGMENT_CHARS = 64_000_000, 8_000_000
-BLOCK_TOKENS, BLOCK_DOCS = 500_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 250_000, 60_000
 
 _END = b""  # no word is empty
 _WORDS, _PAIRS = 0, 1
@@ -176,6 +176,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[tu
             if block.full():
                 yield block, rows
                 block, rows = _Block(), []
+        del others
+        pa.default_memory_pool().release_unused()
     if rows:
         yield block, rows
 
