@@ -45,3 +45,15 @@ def durable(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def durable_round(df: DataFrame) -> DataFrame:
+    """`durable` for the rounds of a loop: the optimizer's estimate of the size is forgotten.
+
+    A checkpoint keeps the estimate of the plan it replaces, and joins multiply estimates; over the
+    rounds of a loop their digits would double each time. The real sizes steer the joins at run time.
+    """
+    kept = durable(df)
+    session = df.sparkSession
+    rows = kept._jdf.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), session)
