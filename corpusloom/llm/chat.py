@@ -18,14 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.runtime import bound_arrow_batches, durable
+from corpusloom.runtime import bound_arrow_batches, durable, durable_round
 
 # Control strings of common chat templates.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 OPEN, CLOSE = "<s>", "</s>\n"
-#: 2**MOST_ROUNDS messages deep; what is further from a root lies on or below a cycle.
-MOST_ROUNDS = 40
-
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _ROLE = re.compile(r"((?:\\.|[^\\\n])*)\n", re.DOTALL)
@@ -68,11 +65,12 @@ def reach(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(node, root, depth, total) of every message that has a root, and the join tables: the k-th has
     (node, up), `up` being 2**k messages above. `messages`: node (unique), parent, score."""
     nodes = messages.select(F.col("node").alias("p"))
-    state = durable(
+    state = durable_round(
         messages.join(nodes, F.col("parent") == F.col("p"), "left").select("node", F.col("p").alias("up"), F.col("node").alias("root"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total"))
     )
     done, jumps = state.filter("up is null").drop("up"), []
-    for _ in range(MOST_ROUNDS):
+    # no path is longer than there are messages: what is open after so many doublings is on or below a cycle
+    for _ in range(messages.count().bit_length() + 1):
         open_ = state.filter("up is not null")
         if open_.isEmpty():
             break
@@ -80,7 +78,7 @@ def reach(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         above = state.select(F.col("node").alias("n"), F.col("up").alias("u"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("t"))
         finished = done.select(F.col("node").alias("n"), F.lit(None).cast(state.schema["up"].dataType).alias("u"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("t"))
         above = above.filter("u is not null").unionByName(finished)
-        state = durable(open_.join(above, F.col("up") == F.col("n")).select("node", F.col("u").alias("up"), F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total")))
+        state = durable_round(open_.join(above, F.col("up") == F.col("n")).select("node", F.col("u").alias("up"), F.col("r").alias("root"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total")))
         done = done.unionByName(state.filter("up is null").drop("up"))
     return done, jumps
 
