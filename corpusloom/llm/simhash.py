@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import bound_arrow_batches, durable
+from corpusloom.runtime import bound_arrow_batches, durable, durable_round
 
 BITS, MAX_DISTANCE, SHINGLE = 64, 3, 3
 SEED = 42
@@ -109,7 +109,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Every round replaces links by links to the smallest neighbour; both kinds of stars keep the
     components, and when a round changes nothing every node is linked to its root alone.
     """
-    edges = durable(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
+    edges = durable_round(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
     before = None
     while True:
         # large star: the greater neighbours of each node go to its smallest neighbour
@@ -120,7 +120,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         joined = large.join(least, F.col("u") == F.col("n"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("n", "m")).distinct()
-        edges = durable(small)
+        edges = durable_round(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -61,12 +61,12 @@ def test_filter_never_reads_too_low_and_folds():
     hashes = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))
     counts = r.integers(1, 3000, len(hashes))
     one = ngram_lm.write_filter(hashes, counts)
-    read = ngram_lm.CountFilter([one.tobytes()], []).counts(hashes, 0)
+    read = ngram_lm.CountFilter.of([one.tobytes()], []).counts(hashes, 0)
     want = ngram_lm.count_of(ngram_lm.level_of(counts))
-    assert (read >= want - 1e-9).all() and (read > want + 1e-9).mean() < 0.25
-    absent = ngram_lm.CountFilter([one.tobytes()], []).counts(r.integers(0, 1 << 63, 20_000, dtype=np.uint64), 0)
+    assert (read >= want - 1e-9).all() and (read > want + 1e-9).mean() < 0.35  # two probes of a filter that is half full
+    absent = ngram_lm.CountFilter.of([one.tobytes()], []).counts(r.integers(0, 1 << 63, 20_000, dtype=np.uint64), 0)
     assert (absent > 0).mean() < 0.06
-    small = ngram_lm.CountFilter([ngram_lm.fold(one, len(one) // 2).tobytes()], []).counts(hashes, 0)
+    small = ngram_lm.CountFilter.of([ngram_lm.fold(one, len(one) // 2).tobytes()], []).counts(hashes, 0)
     assert (small >= want - 1e-9).all()
 
 

@@ -32,6 +32,9 @@ line<p>Two<script>var a="<p>";</script> unclosed <ul><li>i1<li>i2</ul><div class
         ("<article><p>first one</p></article><article><p>second one</p></article>", "first one\nsecond one"),
         ("<p hidden>no</p><p style='display: none'>no</p><p>yes &#233; &am &amp b</p>", "yes é &am & b"),
         ("<p>a</p>\x00<p>" + "<b>" * 50 + "deep", "a\x00\ndeep".replace("a\x00", "a\n\x00")),
+        ("<form><article><p>held by a form</p><form>no</form></article></form>", "held by a form"),
+        ('<div class="header">site</div><div id="cookieBar">no</div><p>yes</p><ul class="nav-menu"><li>m</li></ul><p class="headline">too</p>', "yes\ntoo"),
+        ('<main><div class="post-header"><h1>T</h1></div><p>body</p><div class="commentsArea"><p>no</p></div></main>', "T\nbody"),
         ("<style>p{}</style><p>x</p><!-- <p>comment</p> -->", "x"),
     ],
 )
