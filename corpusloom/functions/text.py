@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -76,14 +77,24 @@ def language_code(code: Column) -> Column:
     return F.when(primary.rlike("^[a-z]{2,3}$"), primary)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def units(text: Column) -> Column:
     """Distinct units that overlap is counted in: words, or pairs of characters where scripts set no blanks."""
-    found = words(text)
-    joined = F.array_join(found, "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 1, F.lit(1))), lambda i: F.substring(joined, i, F.lit(2)))
-    pairs = F.when(F.length(joined) == 0, F.array().cast("array<string>")).otherwise(pairs)
+    def pairs(joined: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(joined) - 1, F.lit(1))), lambda i: F.substring(joined, i, F.lit(2)))
+        return F.when(F.length(joined) == 0, F.array().cast("array<string>")).otherwise(each)
+
     undelimited = text.rlike("[" + "".join(map(fixed.script_class, fixed.UNDELIMITED)) + "]") & dominant_script(text)["script"].isin(fixed.UNDELIMITED)
-    return F.array_distinct(F.when(undelimited, pairs).otherwise(found))
+    return _let(words(text), lambda found: F.array_distinct(F.when(undelimited, _let(F.array_join(found, ""), pairs)).otherwise(found)))
+
+
+def has_script(text: Column) -> Column:
+    """Whether the text has a letter or mark of any known script; looks no further than the first."""
+    return text.rlike("[" + "".join(map(fixed.script_class, fixed.SCRIPTS)) + r"&&[\p{L}\p{M}]]")
 
 
 def overlap_of(anchor_units: Column, positive_units: Column) -> Column:
@@ -92,7 +103,8 @@ def overlap_of(anchor_units: Column, positive_units: Column) -> Column:
 
 
 def overlap(anchor: Column, positive: Column) -> Column:
-    return overlap_of(units(anchor), units(positive))
+    both = F.struct(units(anchor).alias("a"), units(positive).alias("p"))
+    return _let(both, lambda u: overlap_of(u["a"], u["p"]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

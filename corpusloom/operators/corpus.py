@@ -95,7 +95,7 @@ def audit(docs: DataFrame, n_sentences: Column | None = None, examples: int = 3)
     flags = {
         "too_short": F.length(text.collapse(body)) < fixed.SHORT_DOCUMENT,
         "no_language": F.coalesce(F.col(LANGUAGE), F.lit("")) == "",
-        "unknown_script": text.dominant_script(body)["script"] == "Zzzz",
+        "unknown_script": ~text.has_script(body),
         "markup": text.has_markup(body),
         "encoding_damage": damaged > fixed.DAMAGE_SHARE * F.length(body),
         "single_sentence": count <= 1,

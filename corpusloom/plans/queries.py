@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import fixed, text
 from corpusloom.operators import corpus, evaluate, joins, pairs, select, spans, vectors, vocab
 from corpusloom.plans.ledger import accepted, ledger, numbered
-from corpusloom.runtime import table
+from corpusloom.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +73,7 @@ LATIN = fixed.script_class("Latn")
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def long(c) -> F.Column:
@@ -244,7 +244,7 @@ judged AS (SELECT *, CASE WHEN r2 IS NOT NULL THEN r2 WHEN row_number() OVER (PA
 def page_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as documents: the headline is the title, each <p> a paragraph."""
     strip = text.strip_tags
-    rows = table(spark, sf, "pages").select(
+    rows = spread(table(spark, sf, "pages").select("page_id", "html")).select(
         F.col("page_id").alias("doc_id"),
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("language"),
         strip(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("title"),

@@ -38,6 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
 
 
+#: Inputs of fewer bytes may be a single row group, which one task would read and work on alone.
+SMALL_INPUT = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt to all cores; larger ones come in as many parts as they are read in."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_INPUT:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read on from there.
 
