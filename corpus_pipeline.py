@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import line_dedup, packing, simhash, toxicity
+from corpusloom.llm import line_dedup, near_copies, packing, toxicity
 from corpusloom.llm.queries import tokenizer_file
 from corpusloom.runtime import table
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of texts with a 5-word Jaccard similarity of 0.8 or more, the one with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
