@@ -7,8 +7,9 @@ says no. No count is ever lost or read too low; a false positive reads it a leve
 Tokenised blocks of documents send what they hold to segments by hash, once: each distinct word with
 its occurrences by document, and each distinct bigram of the training documents. A word segment
 knows the exact training counts of its words; it returns to every block its documents' shares of the
-base score, and writes the filter's unigrams. A bigram segment writes the filter's bigrams. The filter,
-whose size is checked, is broadcast, and a second pass over the texts scores them:
+base score, and writes the filter's unigrams. A bigram segment writes the filter's bigrams. Bounded
+groups of bigram segments are broadcast one after another, the unigrams with each; a pass over the texts
+adds up the bigrams of its group, and a document's score is the sum of the passes:
 
     p(w | u) = (c(u w) + MASS * p(w)) / (c(u) + MASS),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -35,9 +36,11 @@ from corpusloom.runtime import bound_arrow_batches, durable
 BASE, FIRST_PROBES, MORE_PROBES = 1.5, 6, 2
 #: Weight of the unigram model, in tokens.
 MASS = 20.0
-#: Bound of the filter that is broadcast. Above it, every segment's filter is folded to half its
-#: size until all fit: reads stay whole, false positives grow.
+#: Bound of what is broadcast at once: the word segments and one group of bigram segments, which get half
+#: of it at least. A larger model takes more passes over the texts and loses nothing.
 MAX_FILTER_BYTES = 96 << 20
+#: Level that no count of 64 bits is above.
+MAX_LEVEL = 110
 #: Characters of input to one word segment and to one bigram segment, and tokens of a block.
 WORD_SEGMENT_CHARS, PAIR_SEGMENT_CHARS = 64_000_000, 8_000_000
 BLOCK_TOKENS, BLOCK_DOCS = 250_000, 60_000
@@ -108,10 +111,15 @@ def fold(filter_: np.ndarray, size: int) -> np.ndarray:
 
 
 class CountFilter:
-    """Segments of filters in one array: of `n_words` word segments, then of the bigram segments."""
+    """Segments of filters in one array: of `n_words` word segments, then of the bigram segments.
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, n_words: int):
+    Of the bigram segments only those of `group` (first, after the last) may be there, the others with
+    size 0. No count is read above level `top`.
+    """
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, n_words: int, group: tuple[int, int] | None = None, top: int = MAX_LEVEL):
         self.bits, self.n_words, self.n_pairs = bits, n_words, len(sizes) - n_words
+        self.group, self.top = group or (0, self.n_pairs), top
         self.begin = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         self.mask = (sizes * 8 - 1).astype(np.uint64)
 
@@ -120,6 +128,11 @@ class CountFilter:
         parts = [np.frombuffer(b, dtype=np.uint8) for b in (*words, *pairs)]
         return cls(np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64), len(words))
 
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Which bigrams are of the group."""
+        segment = hashes % np.uint64(self.n_pairs)
+        return (segment >= self.group[0]) & (segment < self.group[1])
+
     def counts(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         n = self.n_words if kind == _WORDS else self.n_pairs
         if not n or not len(hashes):
@@ -127,7 +140,7 @@ class CountFilter:
         segment = (hashes % np.uint64(n)).astype(np.int64) + (0 if kind == _WORDS else self.n_words)
         begin, mask = self.begin[segment], self.mask[segment]
         levels, live, q = np.zeros(len(hashes), dtype=np.int64), np.arange(len(hashes)), 1
-        while len(live):
+        while len(live) and q <= self.top:
             place, step = probe_steps(hashes[live], q)
             for _ in range(FIRST_PROBES if q == 1 else MORE_PROBES):
                 # one probe at a time: most n-grams that aren't there go at the first
@@ -271,29 +284,27 @@ def _shares(group: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(keys), "sum": pa.array(sums[0]), "known": pa.array(sums[1].astype(np.int64)), "n": pa.array(sums[2].astype(np.int64))})
 
 
-def _gathered(segments: DataFrame, n_words: int, n_pairs: int) -> CountFilter:
-    """The filter of all segments within MAX_FILTER_BYTES, fetched a partition at a time."""
+def _gathered(segments: DataFrame, n_words: int, n_pairs: int, top: int) -> Iterator[CountFilter]:
+    """The filter, a group of bigram segments at a time, each within MAX_FILTER_BYTES and fetched a partition at a time."""
     filters = segments.filter("kind >= 0").select("kind", "segment", F.length("payload").alias("size"), "payload")
     sizes = np.full(n_words + n_pairs, 64, dtype=np.int64)  # of a segment that got nothing
     place = lambda r: r["segment"] + (n_words if r["kind"] == _PAIRS else 0)
     for r in filters.drop("payload").collect():
         sizes[place(r)] = r["size"]
-    cap = int(sizes.max())
-    while cap > 64 and np.minimum(sizes, cap).sum() > MAX_FILTER_BYTES:
-        cap //= 2
-    sizes = np.minimum(sizes, cap)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = [fold(np.frombuffer(b, dtype=np.uint8), min(len(b), cap)).tobytes() for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["kind", "segment", "payload"])
-
-    bits = np.zeros(int(begin[-1]), dtype=np.uint8)
-    for r in filters.select("kind", "segment", "payload").mapInArrow(run, "kind int, segment int, payload binary").toLocalIterator():
-        at = place(r)
-        bits[begin[at] : begin[at + 1]] = np.frombuffer(r["payload"], dtype=np.uint8)
-    return CountFilter(bits, sizes, n_words)
+    room = max(MAX_FILTER_BYTES // 2, MAX_FILTER_BYTES - int(sizes[:n_words].sum()))
+    low = 0
+    while low < n_pairs:
+        high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[n_words + low :]), room, side="right")) + low)
+        own = sizes.copy()
+        own[n_words : n_words + low] = own[n_words + high :] = 0
+        begin = np.concatenate([[0], np.cumsum(own)])
+        bits = np.zeros(int(begin[-1]), dtype=np.uint8)
+        wanted = (F.col("kind") == _WORDS) | ((F.col("segment") >= low) & (F.col("segment") < high))
+        for r in filters.filter(wanted).select("kind", "segment", "payload").toLocalIterator():
+            at = place(r)
+            bits[begin[at] : begin[at + 1]] = np.frombuffer(r["payload"], dtype=np.uint8)
+        yield CountFilter(bits, own, n_words, (low, high), top)
+        low = high
 
 
 def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mass: float = MASS) -> DataFrame:
@@ -320,24 +331,47 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     segments = durable(dealt.groupBy("kind", "segment").applyInArrow(_segment, "kind int, segment int, block long, tokens long, distinct long, payload binary"))
     totals = segments.filter(F.col("kind") == _WORDS).agg(F.sum("tokens"), F.sum("distinct")).first()
     n, v = totals[0] or 0, totals[1] or 0
-    model = spark.sparkContext.broadcast(_gathered(segments, n_words, n_pairs))
     floor = n + 0.5 * (v + 1)
+    top = int(level_of(np.array([max(n, 1)]))[0])
+
+    def scored_with(model) -> DataFrame:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filter_ = model.value
+            for block, own in _blocks(batches):
+                ids, doc, before, hashes = block.arrays()
+                one = filter_.counts(hashes, _WORDS)
+                pairs, inverse = np.unique(before * len(hashes) + ids, return_inverse=True)
+                u, w = pairs // len(hashes), pairs % len(hashes)
+                both = pair_hash(hashes[u], hashes[w])
+                here = filter_.holds(both)
+                u, w = u[here], w[here]
+                two = np.minimum(filter_.counts(both[here], _PAIRS), np.minimum(one[u], one[w]))
+                log = np.zeros(len(pairs))
+                log[here] = np.log10((two + mass * (one[w] + 0.5) / floor) / (one[u] + mass))
+                sums = np.bincount(doc, weights=log[inverse], minlength=len(own))
+                sizes = np.bincount(doc, minlength=len(own))
+                columns = [pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "key", "held_out", "n_tokens", "score"])
+
+        return rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, score double")
+
+    scored, others = None, None
+    for group, filter_ in enumerate(_gathered(segments, n_words, n_pairs, top)):
+        whole = filter_.group == (0, n_pairs)
+        model = spark.sparkContext.broadcast(filter_)
+        del filter_
+        part = scored_with(model)
+        if not whole:  # the next group takes this one's place in memory
+            part = durable(part if group == 0 else part.groupBy("key").agg(F.max("score").alias("score")))
+            model.destroy()
+        if group == 0:
+            scored = part
+        else:
+            others = part if others is None else others.unionByName(part)
+    if others is not None:
+        others = others.groupBy(F.col("key").alias("other")).agg(F.sum("score").alias("more"))
+        scored = scored.join(others, F.col("key") == F.col("other")).withColumn("score", F.col("score") + F.col("more")).drop("other", "more")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = model.value
-        for block, own in _blocks(batches):
-            ids, doc, before, hashes = block.arrays()
-            one = filter_.counts(hashes, _WORDS)
-            pairs, inverse = np.unique(before * len(hashes) + ids, return_inverse=True)
-            u, w = pairs // len(hashes), pairs % len(hashes)
-            two = np.minimum(filter_.counts(pair_hash(hashes[u], hashes[w]), _PAIRS), np.minimum(one[u], one[w]))
-            log = np.log10((two + mass * (one[w] + 0.5) / floor) / (one[u] + mass))
-            sums = np.bincount(doc, weights=log[inverse], minlength=len(own))
-            sizes = np.bincount(doc, minlength=len(own))
-            columns = [pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "key", "held_out", "n_tokens", "score"])
-
-    scored = rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, score double")
     shared = segments.filter("kind = -1").select("block", "payload").groupBy("block").applyInArrow(_shares, "k long, sum double, known long, n long")
     shared = shared.groupBy("k").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), F.sum("n").alias("n"))
     both = scored.join(shared, F.col("key") == F.col("k"), "left")
