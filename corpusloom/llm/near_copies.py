@@ -5,11 +5,12 @@ of each component of links the smallest id stays. Pairs are proposed in two ways
 are verified on the whole sets:
 
 * SimHash links: the grid join of `simhash`, over these shingles.
-* Shared prefixes, which lose no pair. Put in one order for all texts, the n // 5 + 1 first shingles
-  of two sets of similarity 4/5 share one at least. The order has shingles that are common in a
+* Shared prefixes, which lose no pair. Put in one order for all texts, the n // 5 + SHARED first
+  shingles of two sets of similarity 4/5 share SHARED at least, or all that the sets must share if
+  those are fewer. The order has shingles that are common in a
   sample last, so that common phrases propose little; it decides only the cost.
 
-A shingle's texts are first held against its smallest one, and what that links becomes one
+A shingle's texts that share enough with it are first held against its smallest one, and what that links becomes one
 component; only texts of different components are then paired with each other, so a group of copies
 costs its size and not the square. Equal sets are one node from the start.
 """
@@ -29,6 +30,8 @@ from corpusloom.llm import simhash
 from corpusloom.runtime import bound_arrow_batches, durable, durable_round
 
 SHINGLE = 5
+#: Shingles that the prefixes of a pair must share.
+SHARED = 3
 #: Texts whose shingles are counted for the order, and shingles that are put last at most.
 SAMPLE_TEXTS, MAX_COMMON = 4_000, 200_000
 
@@ -90,7 +93,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFra
 
 
 def _prefixes(texts: DataFrame, n_texts: int) -> DataFrame:
-    """gram, node, at (its place in the node's order), n (size of the node's set)."""
+    """gram, node, n (size of the node's set)."""
     part = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_texts // SAMPLE_TEXTS))) == 0).select("text")
     often = _map_texts(part, lambda sets: [_grams(sets)], "grams array<long>").select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     rows = often.orderBy(F.desc("n"), "gram").limit(MAX_COMMON).collect()
@@ -101,7 +104,7 @@ def _prefixes(texts: DataFrame, n_texts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, times), done = common.value, set()  # copies within a task go at once
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], []]
             for text in pc.cast(batch.column(0), pa.binary()).to_pylist():
                 own = shingles(text)
                 node = node_of(own)
@@ -112,20 +115,21 @@ def _prefixes(texts: DataFrame, n_texts: int) -> DataFrame:
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     count = np.where(known[at] == own, times[at], 0)
-                size = len(own) // 5 + 1
-                first = own[np.lexsort((own, count))[:size]]
-                for column, values in zip(out, (first, np.full(size, node), np.arange(size, dtype=np.int32), np.full(size, len(own), dtype=np.int32)), strict=True):
+                first = own[np.lexsort((own, count))[: len(own) // 5 + SHARED]]
+                for column, values in zip(out, (first, np.full(len(first), node), np.full(len(first), len(own), dtype=np.int32)), strict=True):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "node", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "node", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, node long, at int, n int")
+    return texts.select("text").mapInArrow(run, "gram long, node long, n int")
 
 
-def _possible(a: str, b: str) -> Column:
-    """Entries of one shingle that can be the first one shared by similar sets."""
-    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
-    return _close(F.col(f"{a}.n"), F.col(f"{b}.n"), left)
+def _proposed(rows: DataFrame) -> DataFrame:
+    """Pairs a, b, of rows with both structs (node, n) for each shingle shared, that share enough."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    must = lambda n: n - F.floor(n / 5)
+    rows = rows.filter(5 * F.least(na, nb) >= 4 * F.greatest(na, nb)).groupBy("a", "b").agg(F.count("*").alias("times"))
+    return rows.filter(F.col("times") >= F.least(F.lit(SHARED), F.greatest(must(na), must(nb)))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
 def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -134,11 +138,10 @@ def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     texts: doc_id, text. classes: node, smallest (a doc_id that has the set), fp.
     """
     dealt = _prefixes(texts, classes.count()).repartition("gram")
-    several = dealt.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select(F.col("gram").alias("g"), "low")
-    shared = dealt.join(several, F.col("gram") == F.col("g")).select("gram", F.struct("node", "at", "n").alias("x"), "low").distinct()
-    shared = durable(shared)
-    heads = shared.filter("x.node = low").select(F.col("gram").alias("g"), F.col("x").alias("head"))
-    stars = shared.filter("x.node != low").join(heads, F.col("gram") == F.col("g")).filter(_possible("x", "head")).select(F.col("x.node").alias("a"), F.col("head.node").alias("b"))
+    entry = F.struct("node", "n")  # both sides use all columns, so the entries are made and dealt once
+    several = dealt.groupBy("gram").agg(F.min(entry).alias("head"), F.max(entry).alias("last")).filter("head != last").select(F.col("gram").alias("g"), "head")
+    shared = durable(dealt.join(several, F.col("gram") == F.col("g")).select("gram", entry.alias("x"), "head").distinct())
+    stars = _proposed(shared.filter("x != head").select(F.col("head").alias("a"), F.col("x").alias("b")))
     of_fp = classes.groupBy("fp").agg(F.min("node").alias("m"))
     stars = stars.unionByName(classes.join(of_fp, "fp").select(F.col("node").alias("a"), F.col("m").alias("b")))
     left, right = of_fp.select(F.col("fp").alias("a"), F.col("m").alias("p")), of_fp.select(F.col("fp").alias("b"), F.col("m").alias("q"))
@@ -146,13 +149,12 @@ def links(texts: DataFrame, classes: DataFrame) -> DataFrame:
     stars = stars.unionByName(grid.join(left, "a").join(right, "b").select(F.col("p").alias("a"), F.col("q").alias("b")))
     found = _verified(stars, texts, classes)
     reached = simhash.components(found)
-    labelled = shared.join(reached, F.col("x.node") == F.col("node"), "left").select("gram", "x", "low", F.coalesce("root", "x.node").alias("root"))
+    labelled = shared.join(reached, F.col("x.node") == F.col("node"), "left").select("gram", "x", F.coalesce("root", "x.node").alias("root"))
     mixed = labelled.groupBy("gram").agg(F.min("root").alias("one"), F.max("root").alias("two")).filter("one != two").select(F.col("gram").alias("g"))
-    # the head's own pairs are verified already
-    rest = durable(labelled.join(mixed, F.col("gram") == F.col("g"), "left_semi").filter("x.node != low").select("gram", "x", "root"))
+    rest = durable(labelled.join(mixed, F.col("gram") == F.col("g"), "left_semi"))
     other = rest.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("root").alias("r"))
-    across = rest.join(other, (F.col("gram") == F.col("g")) & (F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("r")) & _possible("x", "y"))
-    more = _verified(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), texts, classes)
+    across = rest.join(other, (F.col("gram") == F.col("g")) & (F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("r")))
+    more = _verified(_proposed(across.select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, classes)
     return simhash.components(found.unionByName(more))
 
 
