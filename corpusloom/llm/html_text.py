@@ -1,16 +1,21 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; each block of text is a line with its ratio of text
-to tags. The ratios, smoothed by a Gaussian, are clustered by a threshold into dense and thin
-lines. The dense lines tell which region of the page is the article, and all its blocks make up
-the text. Containers that are by their element or name no article (menus, adverts and the like)
-count as thin whatever they hold.
+to tags, where linked text counts for nothing. The ratios are smoothed by a Gaussian, and those at a
+share of the page's usual one or above are dense. Runs of dense lines, with short gaps, are clusters;
+the heavy ones are the content, each together with the rest of the container that it lies in.
+
+Names only weigh: in containers that are by their element or class often no article, a line's ratio
+counts for a fraction of itself, so that a notice of a sentence falls below the threshold and a
+paragraph of the article, whatever its class is called, does not. Such lines are smoothed among
+themselves, or the text around a notice would lift it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,78 +30,134 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-NO_TEXT = set("script style noscript template iframe object svg math canvas audio video select option textarea button head title datalist nav footer aside form dialog menu search fieldset".split())
-SILENT = set("script style noscript template head title iframe object svg math".split())
-REGION = set("article main section div td body blockquote center form".split())
+SILENT = set("script style noscript template head title iframe object svg math audio video canvas select option textarea button datalist".split())
+REGION = set("article main section div td body html blockquote center form".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
-#: Words in a class or id, beginnings of such words, and roles, that name what is no article; the
-#: last only outside one.
+#: Elements, words and beginnings of words in a class or id, and roles, of what is often no article.
+ELEMENTS = set("footer aside form dialog menu search fieldset".split())
 NAMES = set(
-    "ad ads adsense alert alerts banner banners comment comments commentlist consent disqus gdpr masthead menu menus modal nav navigation notice notices notification notifications outbrain overlay paywall recommended related replies respond share sharing signup skip social subscribe subscription taboola teaser teasers toolbar widget widgets".split()
+    "ad ads adsense alert alerts banner banners consent gdpr masthead menu menus modal nav navigation notice notices notification notifications outbrain overlay paywall recommended related replies share sharing signup skip social subscribe subscription taboola teaser teasers toolbar widget widgets".split()
 )
 BEGIN = tuple("advert breadcrumb cookie footer navbar newsletter popup promo sidebar sponsor".split())
+TALK = set("comment comments commentlist disqus respond".split())
 OUTSIDE = set("header topbar".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
+#: Words that name an article; beside one of them the words above say nothing.
+ARTICLE = set("article body content entry main post story text".split())
 
-#: Width of the Gaussian, in lines, and how far it reaches.
-SIGMA, RADIUS = 1.0, 3
-#: Share of the dense text that a region has to hold, and that one article has to for it to be the only one.
-HOLDS, ALONE = 0.5, 0.8
+#: Weights: of lines without such names, of menus, of lines in such classes within an article, of those in
+#: others, and of those in such elements.
+PLAIN, IN_MENU, IN_ARTICLE, WEAK, ELEMENT = 1.0, 0.3, 0.25, 0.02, 0.002
+#: Width of the Gaussian, in lines, and how far it reaches; thin lines that a cluster bridges.
+SIGMA, RADIUS, GAP = 1.0, 3, 3
+#: Share of the usual ratio that makes a line dense, and of the heaviest cluster that makes a cluster heavy.
+DENSE, HEAVY = 0.2, 0.3
 
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
-_KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-RADIUS, RADIUS + 1)]
+_KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(RADIUS + 1)]
+
+
+class Line:
+    __slots__ = ("linked", "region", "tags", "text", "weight")
+
+    def __init__(self, text: str, linked: int, tags: int, weight: float, region: int):
+        self.text, self.linked, self.tags, self.weight, self.region = text, linked, tags, weight, region
+
+    def ratio(self) -> float:
+        return max(0, len(self.text) - self.linked) / max(1, self.tags)
+
+    def is_link(self) -> bool:
+        return 2 * self.linked > len(self.text)
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page: text, tags, whether it may be article, and the regions around it."""
+    """Collects the lines of a page and the tree of its regions, in one pass."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # open elements: name, whether it makes its text no article
-        self.out = 0  # how many of them do
-        self.regions: list[int] = []
-        self.names: list[str] = []  # of all regions so far
-        self.text: list[str] = []
-        self.left_out: list[str] = []  # text within elements that are no article
+        self.stack: list[tuple[str, float]] = []  # open elements and the weight of their text
+        self.open: Counter[str] = Counter()
+        self.named: Counter[str] = Counter()  # open elements that lower the weight, by name
+        self.silent = 0
+        self.regions = [0]
+        self.parent, self.begin, self.end = [-1], [0], [0]  # of each region: parent, first line, line after the last
+        self.kind = [""]
+        self.parts: dict[float, tuple[list[str], list[int]]] = {}  # text so far by weight, and how much of it is linked
         self.tags = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
 
     def _end_line(self) -> None:
-        for own, may in ((self.left_out, False), (self.text, True)):
+        some = False
+        for weight, (own, linked) in self.parts.items():
             if text := " ".join("".join(own).split()):
-                self.lines.append((text, self.tags, may, tuple(self.regions)))
-                self.tags = 0
-            own.clear()
+                self.lines.append(Line(text, sum(linked), self.tags, weight, self.regions[-1]))
+                some = True
+        self.parts = {}
+        if some:
+            self.tags = 0
 
-    def _is_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _weight(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
         if tag in ("html", "body", "main"):
-            return False
-        inside = any(n in ("article", "main") for n, _ in self.stack)
-        if tag in NO_TEXT or tag == "header" and not inside:
-            return True
+            return PLAIN
+        inside = self.open["article"] or self.open["main"]
+        found = IN_MENU if tag == "nav" else ELEMENT if tag in ELEMENTS or tag == "header" and not inside else PLAIN
         for name, value in attrs:
             if name in ("class", "id") and value:
-                for word in _WORD.findall(_CAMEL.sub("-", value).lower()):
-                    if word in NAMES or word.startswith(BEGIN) or word in OUTSIDE and not inside:
-                        return True
-            elif name == "role" and (value or "").lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
-                return True
-        return False
+                words = set(_WORD.findall(_CAMEL.sub("-", value).lower()))
+                if words & ARTICLE:
+                    continue
+                if words & TALK:
+                    found = min(found, WEAK)
+                elif words & NAMES or any(w.startswith(BEGIN) for w in words) or not inside and words & OUTSIDE:
+                    found = min(found, IN_ARTICLE if inside else WEAK)
+            elif name == "role" and (value or "").lower() in ROLES:
+                found = min(found, WEAK)
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
+                return 0.0
+        return found
+
+    def _push(self, tag: str, weight: float) -> None:
+        above = self.stack[-1][1] if self.stack else PLAIN
+        self.stack.append((tag, min(above, weight)))
+        self.open[tag] += 1
+        self.silent += tag in SILENT
+        if weight < PLAIN:
+            self.named[tag] += 1
+        if tag in REGION:
+            self.parent.append(self.regions[-1])
+            self.regions.append(len(self.begin))
+            self.kind.append(tag)
+            self.begin.append(len(self.lines))
+            self.end.append(len(self.lines))
 
     def _pop(self) -> None:
-        tag, out = self.stack.pop()
-        self.out -= out
+        tag, weight = self.stack.pop()
+        self.open[tag] -= 1
+        self.silent -= tag in SILENT
+        if self.named[tag] and weight < PLAIN:
+            self.named[tag] -= 1
         if tag in REGION:
-            self.regions.pop()
+            self.end[self.regions.pop()] = len(self.lines)
+
+    def _close(self, tag: str, until: set[str]) -> None:
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                while len(self.stack) > i:
+                    self._pop()
+                return
+            if self.stack[i][0] in until:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCK:
             self._end_line()
-        elif tag in ("br", "wbr", "img") or tag in NO_TEXT:
-            self.text.append(" " if tag != "wbr" else "")
+        elif tag in ("br", "img") or tag in SILENT:
+            self.handle_data(" ")
         if tag in VOID:
             return
         for closed, by in CLOSED_BY.items():
@@ -104,86 +165,100 @@ class _Lines(HTMLParser):
                 self._close(closed, until=BLOCK - {closed})
         # never in these: one of them was left open, or a form holds the whole page
         holders = {"main": ("nav", "header", "footer", "aside", "form"), "article": ("form",)}.get(tag)
-        while holders and self.out and all(n in holders for n, o in self.stack if o):
+        while holders and self.stack and self.stack[-1][1] < PLAIN and sum(self.named.values()) == sum(self.named[n] for n in holders) > 0:
             self._pop()
-        out = self._is_out(tag, attrs)
-        self.stack.append((tag, out))
-        self.out += out
-        if tag in REGION:
-            self.regions.append(len(self.names))
-            self.names.append(tag)
-
-    def _close(self, tag: str, until: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if self.stack[i][0] in until:
-                return
+        self._push(tag, self._weight(tag, attrs))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self._end_line()
         if tag not in VOID:
-            self._close(tag, until=set() if tag in BLOCK or tag in NO_TEXT else BLOCK)
+            self._close(tag, until=set() if tag in BLOCK or tag in SILENT else BLOCK)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
-        if not self.out:
-            self.text.append(data)
-        elif not any(n in SILENT for n, _ in self.stack):
-            self.left_out.append(data)
+        weight = self.stack[-1][1] if self.stack else PLAIN
+        if self.silent or not weight:
+            return
+        own, linked = self.parts.setdefault(weight, ([], []))
+        own.append(data)
+        if self.open["a"]:
+            linked.append(len(data.strip()))
 
     def close(self) -> None:
         super().close()
         self._end_line()
+        while self.stack:
+            self._pop()
+        self.end[0] = len(self.lines)
 
 
-def smoothed(ratios: list[float]) -> list[float]:
-    """The ratios under a Gaussian, with its weights renewed at both ends."""
+def smoothed(lines: list[Line]) -> list[float]:
+    """The lines' ratios under a Gaussian over the lines of the same weight, times their weights."""
+    ratio = [line.ratio() for line in lines]
     out = []
-    for i in range(len(ratios)):
-        lo, hi = max(0, i - RADIUS), min(len(ratios), i + RADIUS + 1)
-        weights = _KERNEL[lo - i + RADIUS : hi - i + RADIUS]
-        out.append(sum(w * r for w, r in zip(weights, ratios[lo:hi], strict=True)) / sum(weights))
+    for i, line in enumerate(lines):
+        total = share = 0.0
+        for j in range(max(0, i - RADIUS), min(len(lines), i + RADIUS + 1)):
+            if lines[j].weight == line.weight:
+                k = _KERNEL[abs(i - j)]
+                total += k * ratio[j]
+                share += k
+        out.append(line.weight * total / share)
+    return out
+
+
+def clusters(lines: list[Line], dense: list[bool]) -> list[tuple[int, int, int]]:
+    """Runs of dense lines that at most GAP thin ones divide: first line, line after the last, dense characters."""
+    out: list[tuple[int, int, int]] = []
+    for i, line in enumerate(lines):
+        if dense[i]:
+            begin, mass = i, 0
+            if out and i - out[-1][1] <= GAP:
+                begin, _, mass = out.pop()
+            out.append((begin, i + 1, mass + len(line.text)))
     return out
 
 
+def _container(parser: _Lines, a: int, b: int) -> int:
+    """The innermost region around two lines: region numbers grow inwards."""
+    while a != b:
+        if a > b:
+            a = parser.parent[a]
+        else:
+            b = parser.parent[b]
+    return a
+
+
 def main_text(html: str) -> str:
     """The article's blocks, one to a line; empty if the page has none."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     lines = parser.lines
-    may = [i for i, line in enumerate(lines) if line[2]]
-    if not may:
+    plain = [i for i, line in enumerate(lines) if line.weight == PLAIN]
+    density = smoothed(lines)
+    size = sum(len(lines[i].text) for i in plain)
+    if not size:
         return ""
-    ratio = smoothed([len(text) / max(1, tags) if ok else 0.0 for text, tags, ok, _ in lines])
-    threshold = sum(ratio[i] for i in may) / len(may) / 2
-    dense = [i for i in may if ratio[i] >= threshold]
-    held: dict[int, int] = {}
-    total = 0
-    for i in dense:
-        total += len(lines[i][0])
-        for region in lines[i][3]:
-            held[region] = held.get(region, 0) + len(lines[i][0])
-    # the innermost article, else main, else any region that holds enough of the dense text
-    region = None
-    for kinds in (("article",), ("main",), REGION):
-        share = ALONE if kinds == ("article",) else HOLDS
-        enough = [r for r, n in held.items() if parser.names[r] in kinds and n >= share * total]
-        if kinds == ("article",) and not enough:  # several articles on one page: all that are dense
-            articles = {r for r in held if parser.names[r] == "article"}
-            if sum(len(lines[i][0]) for i in dense if not articles.isdisjoint(lines[i][3])) >= HOLDS * total:
-                return "\n".join(lines[i][0] for i in may if not articles.isdisjoint(lines[i][3]))
-        if enough:
-            region = max(enough)
-            break
-    return "\n".join(lines[i][0] for i in may if region is None or region in lines[i][3])
+    threshold = DENSE * sum(len(lines[i].text) * density[i] for i in plain) / size
+    dense = [d >= threshold for d in density]
+    found = clusters(lines, dense)
+    heaviest = max((mass for _, _, mass in found), default=0)
+    keep: list[int] = []
+    for begin, end, mass in found:
+        if mass < HEAVY * heaviest:
+            continue
+        region = _container(parser, lines[begin].region, lines[end - 1].region)
+        if parser.kind[region] not in ("", "html", "body"):
+            begin, end = min(begin, parser.begin[region]), max(end, parser.end[region])
+        begin = max(begin, keep[-1] + 1 if keep else 0)
+        keep += range(begin, max(begin, end))
+    # among them, thin lines stay unless they are links or are named for what is no article
+    return "\n".join(lines[i].text for i in keep if dense[i] or lines[i].weight == PLAIN and not lines[i].is_link())
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
