@@ -82,53 +82,79 @@ def test_levels():
 
 
 def brute_lines(rows, min_words):
-    """Lines that lie in a run of min_words words, blank lines aside, that stands at an earlier place."""
+    """Texts as words, without those in a run of min_words words that stands at an earlier place."""
     docs = sorted(rows, key=lambda x: (x[0] is None, x[0]))
-    lines = [[(i, tuple(x.split())) for i, x in enumerate((t or "").split("\n"))] for _, t in docs]
-    full = [[(i, w) for i, w in doc if w] for doc in lines]
-    first, gone = {}, [set() for _ in docs]
-    runs = []
-    for d, doc in enumerate(full):
-        for a in range(len(doc)):
-            for direction in (1, -1):
-                total, b = 0, a
-                while 0 <= b < len(doc) and total < min_words:
-                    total += len(doc[b][1])
-                    b += direction
-                if total >= min_words:
-                    lo, hi = (a, b) if direction == 1 else (b + 1, a + 1)
-                    runs.append((d, lo, hi, tuple(w for _, w in doc[lo:hi])))
-    for d, lo, _, content in sorted(set(runs)):
-        first.setdefault(content, (d, lo))
-    for d, lo, hi, content in runs:
-        d0, lo0 = first[content]
-        if (d, lo) != (d0, lo0):
-            begin = max(full[d][lo][0], full[d][lo0 + hi - lo - 1][0] + 1) if d == d0 else full[d][lo][0]
-            gone[d] |= set(range(begin, full[d][hi - 1][0] + 1))
-    return {docs[d][0]: None if docs[d][1] is None else "\n".join(x for i, x in enumerate(docs[d][1].split("\n")) if i not in gone[d]) for d in range(len(docs))}
-
-
-def test_lines_against_brute_force(spark):
+    first, left = {}, {}
+    for d, (i, text) in enumerate(docs):
+        words = (text or "").encode().split()
+        gone = [False] * len(words)
+        for a in range(len(words) - min_words + 1):
+            at = first.setdefault(tuple(words[a : a + min_words]), (d, a))
+            if at != (d, a):
+                for x in range(max(a, at[1] + min_words) if at[0] == d else a, a + min_words):
+                    gone[x] = True
+        left[i] = None if text is None else [w.decode() for w, g in zip(words, gone, strict=True) if not g]
+    return left
+
+
+def test_passages_against_brute_force(spark):
     r = random.Random(2)
-    pool = [words(r, r.randint(0, 9), 4000) for _ in range(40)]
-    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.6 else words(r, r.randint(0, 8), 9000) for _ in range(r.randint(1, 14)))) for i in range(120)]
-    for i in range(0, 40, 2):  # runs that are shared
-        a = rows[i][1].split("\n")
-        rows[i + 1] = (i + 1, "\n".join([*a[2:], "tail here", *a]))
-    rows += [(200, "\n".join(["same line of five words"] * 30)), (201, None), (202, "")]
-    for least in (5, 12):
+    rows = []
+    for i in range(90):
+        passages = [words(r, r.randint(30, 90), 5000) for _ in range(3)]
+        rows.append([i, r.choice((" ", "\n")).join(passages)])
+        if i % 3 == 1:  # within a line, wrapped otherwise, twice, and less than a passage
+            source = rows[i - 1][1].split()
+            a, n = r.randint(0, len(source) - 25), r.randint(10, 80)
+            rows[i][1] += " " + "\n".join(source[a : a + n]) + " end of it"
+        if i % 9 == 2:
+            rows[i][1] += "\n" + rows[i][1] + "\n" + rows[0][1][:300]
+    rows += [(200, "\n".join(["one line of six words here"] * 30)), (201, None), (202, ""), (203, " \n "), (204, "é ü " * 200)]
+    for least in (20, 50):
+        want = brute_lines(rows, least)
         got = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(frame(spark, rows).repartition(3), min_words=least).collect()}
-        assert got == brute_lines(rows, least)
+        assert {i: None if t is None else t.split() for i, t in got.items()} == {i: None if w is None else " ".join(w).split() for i, w in want.items()}
+    untouched = {i: t for i, t in rows if t is not None and len(t.encode().split()) == len(want[i])}
+    assert len(untouched) > 40 and all(got[i] == t for i, t in untouched.items())
+
+
+def test_winnowing_keeps_its_guarantee():
+    """Few lines are selected, and of every run of min_words words a text selects the same lines as any other text."""
+    r = random.Random(3)
+    run = words(r, 50, 5000).encode()
+    seen = set()
+    for _ in range(50):
+        text = b" ".join([words(r, r.randint(0, 70), 5000).encode(), run, words(r, r.randint(0, 70), 5000).encode()])
+        hashes, ends = line_dedup.word_hashes([b"", text, b"x " * 60])
+        at, fp = line_dedup.selected(hashes, ends)
+        mine, begin = ends[1] - ends[0], text.decode().split().index(run.decode().split()[0])
+        inside = {int(f) for a, f in zip(at, fp, strict=True) if begin <= a <= begin + 24}
+        assert 0 < sum(a < mine for a in at) < mine / 5
+        seen = seen & inside if seen else inside
+    assert seen
+    big = [bytes([97 + i % 26]) * (line_dedup._CHUNK // 3) + b" " + run for i in range(4)]  # words longer than a chunk
+    one, _ = line_dedup.word_hashes(big)
+    assert (one[1:51] == line_dedup.word_hashes([run])[0]).all() and len(set(one[::51].tolist())) == 4
+
+
+@pytest.mark.parametrize(
+    ("text", "spans", "left"),
+    [("a b c d", [(1, 3)], "a d"), ("a b\nc d\ne", [(1, 3)], "a d\ne"), ("a b\nc d\ne", [(2, 4)], "a b\ne"), ("a b\nc", [(0, 1), (1, 2)], "c"), ("x a b\ny", [(1, 3)], "x\ny"), ("x a\n", [(0, 2)], ""), ("é a b \n", [(1, 3)], "é \n")],
+)
+def test_words_go_with_their_space(text, spans, left):
+    assert line_dedup.without_words(text, spans) == left
 
 
 def test_lines_keep_columns_and_rows(spark):
     long = " ".join(f"x{i}" for i in range(60))
-    rows = [(2, f"own\n{long}"), (1, f"{long}\nother"), (None, f"{long}\nno id"), (3, "short\nshort"), (4, None)]
-    docs = frame(spark, rows)
+    rows = [(2, f"own\n{long}"), (1, f"{long}\nother"), (None, f"{long}\nno id"), (3, "short\nshort"), (4, None), (5, f"in a {long} line"), (5, f"in a {long} line"), (5, "of the same id")]
+    docs = frame(spark, rows).withColumn("__key", F.lit(1)).withColumn("__gone", F.lit("g")).withColumn("k", F.lit(2)).withColumn("gone", F.lit(3)).withColumn("at", F.lit(4))
     out = line_dedup.drop_repeated_lines(docs)
     assert out.columns == docs.columns and out.schema["text"].dataType == docs.schema["text"].dataType
-    got = {x.doc_id: x.text for x in out.collect()}
-    assert got == {2: "own", 1: f"{long}\nother", None: "no id", 3: "short\nshort", 4: None}
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    want = [(2, "own"), (1, f"{long}\nother"), (None, "no id"), (3, "short\nshort"), (4, None), (5, "in a line"), (5, "in a line"), (5, "of the same id")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert all((x["__key"], x["__gone"], x.k, x.gone, x["at"]) == (1, "g", 2, 3, 4) for x in out.collect())
     assert line_dedup.drop_repeated_lines(frame(spark, [])).count() == 0
 
 
@@ -203,10 +229,6 @@ def test_near_duplicates(spark):
     for g in got:
         if g.doc_id is not None:
             assert (g.fingerprint, g.component_id) == (f"{fps[g.doc_id]:016x}", reach[g.doc_id])
-    docs = frame(spark, rows)
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted((x.doc_id is None, x.doc_id or 0) for x in kept.collect()) == sorted([(False, i) for i in ids if reach[i] == i] + [(True, 0)])
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 

@@ -54,6 +54,27 @@ def test_stage_drops_every_copy_at_four_fifths(spark):
     assert all(x.text == texts[x.doc_id] for x in kept)
 
 
+def test_no_text_is_lost_with_its_id(spark):
+    """Rows are told apart by id and text; columns may have any name."""
+    other = "another text of five words or more"
+    rows = [(1, "a b"), (2, "A  b"), (2, other), (5, "c d"), (5, "e f"), (6, other.upper())]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], SCHEMA + ", __key int, __gone int, key int, node int")
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((x.doc_id, x.text) for x in kept.collect()) == [(1, "a b"), (2, other), (5, "c d"), (5, "e f")]
+
+
+def test_maps_differ_no_more_than_the_sets():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (1, 40, 3000):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], r.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        maps = [int.from_bytes(near_copies.parity_map(x), "big") for x in (a, b)]
+        assert (maps[0] ^ maps[1]).bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_missing_ids_repeated_rows_and_empty_tables(spark):
     rows = [(None, "a b"), (None, "a b"), (1, "a b"), (1, "a b"), (2, "a b")]
     kept = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
