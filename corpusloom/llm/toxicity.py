@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The model is fitted on a bounded sample of the labelled training rows and is itself bounded, so it
-travels in the closure of the scoring function. Terms are hashed; those whose share differs between
-the two labels by more than chance explains are kept; on them the machine learns linear weights
-and, through factors, a weight for each pair of terms (an insult beside the mention of a group).
+The model is fitted on a bounded sample of the labelled training rows. All terms that are frequent
+enough in the sample, whatever their labels, go into the machine: a term may say nothing alone and
+all beside another (an insult beside the mention of a group). Linear weights and, through factors,
+weights for pairs of terms are learned together; both shrink towards zero, a term's factors as a
+whole, so that of the many terms that say nothing none is left. A few last rounds without the shrinking
+settle the weights that remain. The model holds these alone and travels in the closure of the scorer.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from corpusloom.runtime import bound_arrow_batches, durable
 
 #: Rows of each label that the model is fitted on at most: the bound of what goes to the driver.
 SAMPLE_PER_LABEL = 8_000
-#: Terms that the model knows at most, and standard deviations by which their shares must differ.
-MAX_TERMS, CHANCE = 4_096, 4.5
-FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 40, 128, 0.5, 1e-5
+#: A term counts from this share of the sample's rows on, and from so many rows.
+MIN_SHARE, MIN_ROWS = 0.002, 4
+FACTORS, BATCH, RATE, PAIR_RATE = 8, 128, 0.2, 0.06
+#: Rounds with and without shrinking; how much linear weights and factors shrink; the least linear weight that is kept.
+ROUNDS, LAST_ROUNDS, SHRINK, SHRINK_PAIRS, LEAST = 20, 5, 3e-4, 5e-3, 0.2
 #: Lengths of the beginnings that count as terms beside whole words.
 STEMS = (5, 7)
-#: Pair weights start small, so that linear ones come first.
-SPREAD = 0.02
+#: Spread of the factors at the start.
+SPREAD = 0.05
 NO_MODEL_SCORE = 0.0
 
 _TERM = re.compile(r"[^\W\d_]+")
@@ -72,8 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Learn from the training rows of `labels` (id, 0/1); rows with a null id or label teach nothing.
 
     Of each label, the SAMPLE_PER_LABEL rows with the smallest hash of their id are learned from; the
-    shares of the labels are counted over all training rows. Without rows of both labels there is no
-    model, and every score is NO_MODEL_SCORE.
+    shares of the labels are counted over all training rows. Null texts count as empty; repeated rows
+    teach once each. Without rows of both labels there is no model, and every score is NO_MODEL_SCORE.
     """
     bound_arrow_batches(docs.sparkSession)
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(f"id is not null and y in (0, 1) and {_training_sql('id')}")
@@ -88,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Machine()
-    terms = distinctive_terms(texts, sizes[1], sizes[0])
+    terms = frequent_terms(texts, max(MIN_ROWS, math.ceil(MIN_SHARE * sum(sizes.values()))))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,25 +105,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(found, np.array([r["y"] for r in rows], dtype=np.float64), counts)
 
 
-def distinctive_terms(texts: DataFrame, n1: int, n0: int) -> set[int]:
-    """Of all terms of the sample (y, text; n1 and n0 rows of each label), those whose share among the
-    labels differs by more than chance explains, the MAX_TERMS that do most. Counted where the texts
-    are; only the terms that are kept go to the driver."""
+def frequent_terms(texts: DataFrame, least: int) -> set[int]:
+    """Terms of so many rows of the sample (y, text) at least. Counted where the texts are; only those go to the
+    driver, and there are no more than the terms of a row on average over MIN_SHARE."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.fromiter(hashed_terms(t), dtype=np.int64) for t in batch.column(1).to_pylist()]
             if found:
-                y = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-                terms, inverse = np.unique(np.concatenate(found), return_inverse=True)
-                all_ = np.bincount(inverse, minlength=len(terms))
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(inverse, weights=y, minlength=len(terms)).astype(np.int64)), pa.array(all_.astype(np.int64))], ["term", "in1", "n"])
+                terms, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], ["term", "n"])
 
-    counted = texts.mapInArrow(count, "term long, in1 long, n long").groupBy("term").agg(F.sum("in1").alias("in1"), F.sum("n").alias("n"))
-    share = F.col("n") / F.lit(n1 + n0)
-    spread = F.sqrt(F.greatest(share * (1 - share) * F.lit(n1 * n0 / (n1 + n0)), F.lit(1e-9)))
-    counted = counted.withColumn("chance", F.abs(F.col("in1") - share * n1) / spread).filter(F.col("chance") >= CHANCE)
-    return {r["term"] for r in counted.orderBy(F.desc("chance"), "term").limit(MAX_TERMS).select("term").collect()}
+    counted = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return {r["term"] for r in counted.select("term").collect()}
 
 
 def _training_sql(name: str) -> str:
@@ -133,38 +131,51 @@ def train(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Mach
     if not n0 or not n1:
         return Machine()
     begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    kept, column = np.unique(np.concatenate(rows), return_inverse=True) if begin[-1] else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    terms, column = np.unique(np.concatenate(rows), return_inverse=True) if begin[-1] else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     random = np.random.default_rng(7)
-    w, v, w0 = np.zeros(len(kept)), random.normal(0, SPREAD, (len(kept), FACTORS)), math.log(n1 / n0)
-    gw, gv, g0 = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    w, v, w0 = np.zeros(len(terms)), random.normal(0, SPREAD, (len(terms), FACTORS)), math.log(n1 / n0)
+    gw, gv, g0 = np.full(len(terms), 1e-6), np.full((len(terms), 1), 1e-6), 1e-2
+    shrink, shrink_pairs = SHRINK, SHRINK_PAIRS
+    for turn in range(ROUNDS + LAST_ROUNDS):
+        if turn == ROUNDS:
+            left = (np.abs(w) >= LEAST) | (v != 0).any(axis=1)
+            place = np.cumsum(left) - 1
+            begin, column = np.concatenate([[0], np.cumsum(left[column])])[begin], place[column[left[column]]]
+            terms, w, v, gw, gv = terms[left], np.where(np.abs(w) >= LEAST, w, 0.0)[left], v[left], gw[left], gv[left]
+            shrink = shrink_pairs = 0.0
+            linear, paired = w != 0, (v != 0).any(axis=1, keepdims=True)
         order = random.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             batch = order[at : at + BATCH]
             sizes = begin[batch + 1] - begin[batch]
-            ids = np.concatenate([column[begin[d] : begin[d + 1]] for d in batch])
+            ids = column[np.repeat(begin[batch] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
             who = np.repeat(np.arange(len(batch)), sizes)
-            linear = np.bincount(who, weights=w[ids], minlength=len(batch))
-            sums = np.zeros((len(batch), FACTORS))
-            np.add.at(sums, who, v[ids])
-            squares = np.bincount(who, weights=(v[ids] ** 2).sum(1), minlength=len(batch))
-            z = np.clip(w0 + linear + 0.5 * ((sums**2).sum(1) - squares), -30, 30)
+            own = v[ids]
+            sums = np.stack([np.bincount(who, weights=own[:, k], minlength=len(batch)) for k in range(FACTORS)], axis=1)
+            squares = np.bincount(who, weights=(own * own).sum(1), minlength=len(batch))
+            z = np.clip(w0 + np.bincount(who, weights=w[ids], minlength=len(batch)) + 0.5 * ((sums**2).sum(1) - squares), -30, 30)
             error = (1 / (1 + np.exp(-z)) - y[batch]) / len(batch)
-            g = error.sum()
-            g0 += g * g
-            w0 -= RATE * g / math.sqrt(g0)
-            step = np.bincount(ids, weights=error[who], minlength=len(w)) + L2 * w
+            g0 += error.sum() ** 2
+            w0 -= RATE * error.sum() / math.sqrt(g0)
+            step = np.bincount(ids, weights=error[who], minlength=len(w))
             gw += step * step
-            w -= RATE * step / np.sqrt(gw)
-            pair = np.zeros_like(v)
-            np.add.at(pair, ids, error[who, None] * (sums[who] - v[ids]))
-            pair += L2 * v
-            gv += pair * pair
-            v -= RATE * 0.3 * pair / np.sqrt(gv)
+            rate = RATE / (np.sqrt(gw) + 1e-3)
+            pull = error[who, None] * (sums[who] - own)
+            pair = np.stack([np.bincount(ids, weights=pull[:, k], minlength=len(w)) for k in range(FACTORS)], axis=1)
+            gv += (pair * pair).sum(axis=1, keepdims=True)
+            pair_rate = PAIR_RATE / (np.sqrt(gv) + 1e-3)
+            if turn < ROUNDS:
+                w = w - rate * step
+                w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
+                v = v - pair_rate * pair
+                v *= np.maximum(0, 1 - pair_rate * shrink_pairs / (np.sqrt((v * v).sum(axis=1, keepdims=True)) + 1e-12))
+            else:
+                w = w - rate * step * linear
+                v = v - pair_rate * pair * paired
     # the sample has the labels in other shares than the table
     w0 += math.log(counts[1] / counts[0]) - math.log(n1 / n0)
-    return Machine({int(t): i for i, t in enumerate(kept)}, w0, w, v, True)
+    return Machine({int(t): i for i, t in enumerate(terms)}, w0, w, v, True)
 
 
 def scorer(machine: Machine):
@@ -191,6 +202,10 @@ def score_documents(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows that score below the threshold, with all their columns."""
+    """The rows that score below the threshold, with all their columns.
+
+    Null and empty texts get the score of a text without known terms; null ids and repeated rows are
+    judged like any other; an empty table gives no rows.
+    """
     bound_arrow_batches(docs.sparkSession)
     return docs.filter(scorer(machine)(F.col(text_col)) < threshold)

@@ -353,14 +353,20 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(frame(spark, []), none).count() == 0
 
 
-def test_pairs_of_terms_count():
-    """Toxic only where both terms meet: no additive weights can tell that."""
+def test_only_the_pair_tells(spark):
+    """Toxic where one of two terms stands without the other: neither is more frequent in either label."""
     r = random.Random(1)
-    rows, y = [], []
-    for _ in range(3000):
+    rows, labels = [], []
+    for i in range(3000):
         a, b = r.random() < 0.5, r.random() < 0.5
-        rows.append(np.array(sorted([1] * a + [2] * b + [10 + r.randint(0, 200)]), dtype="<u4"))
-        y.append(float(a and b))
-    machine = toxicity.train(rows, np.array(y), {0: 3000 - int(sum(y)), 1: int(sum(y))})
-    score = lambda *t: machine.intercept + sum(machine.linear[machine.terms[x]] for x in t) + (float(machine.factors[machine.terms[1]] @ machine.factors[machine.terms[2]]) if len(t) == 2 else 0)
-    assert score(1) < 0 and score(2) < 0 and score(1, 2) > 0
+        text = words(r, r.randint(20, 60)).split() + ["slur"] * a + ["people"] * b
+        r.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(a != b)))
+    machine = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    truth = dict(labels)
+    held = [g for g in toxicity.score_documents(frame(spark, rows), machine).collect() if g.held_out]
+    assert sum(g.predicted == truth[g.doc_id] for g in held) > 0.95 * len(held)
+    flat = toxicity.Machine(machine.terms, machine.intercept, machine.linear, machine.factors * 0, True)
+    alone = [g for g in toxicity.score_documents(frame(spark, rows), flat).collect() if g.held_out]
+    assert sum(g.predicted == truth[g.doc_id] for g in alone) < 0.75 * len(alone)
