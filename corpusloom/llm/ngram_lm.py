@@ -4,12 +4,18 @@ A count is kept as its level on a logarithmic scale. An n-gram of level q is put
 once for each level up to q; to read a count, the filter is asked for level 1, 2 and so on until it
 says no. No count is ever lost or read too low; a false positive reads it a level too high.
 
-Tokenised blocks of documents send what they hold to segments by hash, once: each distinct word with
-its occurrences by document, and each distinct bigram of the training documents. A word segment
-knows the exact training counts of its words; it returns to every block its documents' shares of the
-base score, and writes the filter's unigrams. A bigram segment writes the filter's bigrams. Bounded
-groups of bigram segments are broadcast one after another, the unigrams with each; a pass over the texts
-adds up the bigrams of its group, and a document's score is the sum of the passes:
+Tokenised blocks of documents send what they hold to segments by hash, once: the count of each distinct
+word, and of each distinct bigram of the training documents. A word segment knows the exact training
+counts of its words and writes the filter's unigrams; a bigram segment writes the filter's bigrams.
+
+The base score needs the exact count of each word where its documents are. Frequent words, a list of
+bounded length that a sample of the texts names, send their counts alone, and the whole counts of the
+list are broadcast. Of other words a block sends the occurrences by document too, and the segment
+returns to every block its documents' shares of the score. So no segment gets more because a word is
+frequent; the list decides where a word is counted and not what comes out.
+
+Bounded groups of bigram segments are broadcast one after another, the unigrams with each; a pass over
+the texts adds up the bigrams of its group, and a document's score is the sum of the passes:
 
     p(w | u) = (c(u w) + MASS * p(w)) / (c(u) + MASS),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
@@ -41,12 +47,14 @@ MASS = 20.0
 MAX_FILTER_BYTES = 96 << 20
 #: Level that no count of 64 bits is above.
 MAX_LEVEL = 110
+#: Words on the list of frequent ones, and texts of the sample that names them.
+FREQUENT_WORDS, SAMPLE_TEXTS = 65_536, 4_000
 #: Characters of input to one word segment and to one bigram segment, and tokens of a block.
 WORD_SEGMENT_CHARS, PAIR_SEGMENT_CHARS = 64_000_000, 8_000_000
 BLOCK_TOKENS, BLOCK_DOCS = 250_000, 60_000
 
 _END = b""  # no word is empty
-_WORDS, _PAIRS = 0, 1
+_WORDS, _PAIRS, _SHARES, _LISTED = 0, 1, -1, -2
 _SEED = 7
 
 
@@ -182,7 +190,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Block, list[tu
     """Blocks of documents with the other columns of their rows; the text is the last column."""
     block, rows = _Block(), []
     for batch in batches:
-        others = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+        others = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True)) or [()] * batch.num_rows
         for row, text in zip(others, pc.cast(batch.columns[-1], pa.binary()).to_pylist(), strict=True):
             block.add(text)
             rows.append(row)
@@ -207,35 +215,49 @@ def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _dealt(number: int, block: _Block, rows: list[tuple], n_words: int, n_pairs: int) -> Iterator[tuple[int, int, bytes]]:
+def _cuts(to: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of a sorted array each value with where it begins and ends."""
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, dtype=np.int64)
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield int(to[a]), a, b
+
+
+def _listed(hashes: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted list; -1 if it isn't there."""
+    if not len(sorted_list):
+        return np.full(len(hashes), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(sorted_list, hashes), len(sorted_list) - 1)
+    return np.where(sorted_list[at] == hashes, at, -1)
+
+
+def _dealt(number: int, block: _Block, rows: list[tuple], n_words: int, n_pairs: int, frequent: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """What a block sends to each segment. rows: (key, held_out)."""
     ids, doc, before, hashes = block.arrays()
     keys = np.array([r[0] for r in rows], dtype="<i8")
     train = ~np.array([r[1] for r in rows], dtype=bool)
     learned = train[doc]
     in_train = np.bincount(ids[learned], minlength=len(hashes))
-    # occurrences by word, then document
-    pairs, times = np.unique(ids * len(rows) + doc, return_counts=True)
-    word, where = pairs // len(rows), pairs % len(rows)
     to = (hashes % np.uint64(n_words)).astype(np.int64)
-    order = np.argsort(to[word], kind="stable")
-    word, where, times = word[order], where[order], times[order]
-    cuts = np.searchsorted(to[word], np.arange(n_words + 1))
-    for s in range(n_words):
-        a, b = cuts[s], cuts[s + 1]
-        if a < b:
-            own, first, each = np.unique(word[a:b], return_index=True, return_counts=True)
-            present, place = np.unique(where[a:b], return_inverse=True)
-            yield _WORDS, s, _packed(hashes[own], in_train[own].astype("<u4"), each.astype("<u4"), place.astype("<u2"), times[a:b].astype("<u4"), keys[present], np.array([number], dtype="<i8"))
+    order = np.argsort(to, kind="stable")  # words by segment
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    # occurrences by word, then document, of words that aren't on the list
+    rare = _listed(hashes, frequent) < 0
+    pairs, times = np.unique((rank[ids] * len(rows) + doc)[rare[ids]], return_counts=True)
+    word, where = pairs // len(rows), pairs % len(rows)
+    for s, low, high in _cuts(to[order]):
+        a, b = np.searchsorted(word, (low, high))
+        each = np.bincount(word[a:b] - low, minlength=high - low)
+        present, place = np.unique(where[a:b], return_inverse=True)
+        own = order[low:high]
+        yield _WORDS, s, _packed(hashes[own], in_train[own].astype("<u4"), each.astype("<u4"), place.astype("<u2"), times[a:b].astype("<u4"), keys[present], np.array([number], dtype="<i8"))
     pairs, times = np.unique((before * len(hashes) + ids)[learned], return_counts=True)
     both = pair_hash(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
     to = (both % np.uint64(n_pairs)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     both, times = both[order], times[order].astype("<u4")
-    cuts = np.searchsorted(to[order], np.arange(n_pairs + 1))
-    for s in range(n_pairs):
-        if cuts[s] < cuts[s + 1]:
-            yield _PAIRS, s, _packed(both[cuts[s] : cuts[s + 1]], times[cuts[s] : cuts[s + 1]])
+    for s, a, b in _cuts(to[order]):
+        yield _PAIRS, s, _packed(both[a:b], times[a:b])
 
 
 _SEGMENT_SCHEMA = pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("block", pa.int64()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("payload", pa.binary())])
@@ -253,7 +275,8 @@ def _counted(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segment(group: pa.Table) -> pa.Table:
-    """A segment's filter; a word segment's shares of the base score too, one row per block (kind -1)."""
+    """A segment's filter; of a word segment also the counts of its listed words and its shares of the base
+    score from other words, one row per block."""
     kind, segment = group.column("kind")[0].as_py(), group.column("segment")[0].as_py()
     blobs = [b.as_py() for b in group.column("payload")]
     if kind == _PAIRS:
@@ -264,15 +287,20 @@ def _segment(group: pa.Table) -> pa.Table:
     counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
     known = counts > 0
     rows = [{"kind": kind, "segment": segment, "tokens": int(counts.sum()), "distinct": int(known.sum()), "payload": write_filter(hashes[known], counts[known]).tobytes()}]
+    listed = np.zeros(len(hashes), dtype=bool)
+    listed[inverse[np.concatenate([p[2] for p in parts]) == 0]] = True  # any other word stands in a document of its block
+    rows.append({"kind": _LISTED, "segment": segment, "tokens": 0, "distinct": 0, "payload": _packed(hashes[listed], counts[listed].astype("<i8"))})
     log, at = np.log10(counts + 0.5), 0
     for own, _, each, place, times, keys, number in parts:
         of = inverse[at : at + len(own)]
         at += len(own)
+        if not len(keys):
+            continue
         of = np.repeat(of, each)
         sums = np.bincount(place, weights=times * log[of], minlength=len(keys))
         seen = np.bincount(place, weights=times * known[of], minlength=len(keys)).astype("<i8")
         all_ = np.bincount(place, weights=times, minlength=len(keys)).astype("<i8")
-        rows.append({"kind": -1, "segment": segment, "block": int(number[0]), "tokens": 0, "distinct": 0, "payload": _packed(keys, sums, seen, all_)})
+        rows.append({"kind": _SHARES, "segment": segment, "block": int(number[0]), "tokens": 0, "distinct": 0, "payload": _packed(keys, sums, seen, all_)})
     return pa.Table.from_pylist(rows, _SEGMENT_SCHEMA)
 
 
@@ -284,6 +312,20 @@ def _shares(group: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(keys), "sum": pa.array(sums[0]), "known": pa.array(sums[1].astype(np.int64)), "n": pa.array(sums[2].astype(np.int64))})
 
 
+def _frequent(texts: DataFrame, n_texts: int) -> np.ndarray:
+    """Sorted hashes of the most frequent words of a sample of the texts (key, text)."""
+    part = texts.filter(F.pmod("key", F.lit(max(1, n_texts // SAMPLE_TEXTS))) == 0).select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _ in _blocks(batches):
+            ids, _, _, hashes = block.arrays()
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(ids, minlength=len(hashes)))], ["hash", "n"])
+
+    counted = part.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    found = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT_WORDS).select("hash").collect()
+    return np.sort(np.array([r["hash"] for r in found], dtype=np.int64).view(np.uint64))
+
+
 def _gathered(segments: DataFrame, n_words: int, n_pairs: int, top: int) -> Iterator[CountFilter]:
     """The filter, a group of bigram segments at a time, each within MAX_FILTER_BYTES and fetched a partition at a time."""
     filters = segments.filter("kind >= 0").select("kind", "segment", F.length("payload").alias("size"), "payload")
@@ -318,13 +360,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bound_arrow_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), held_out(id_col).alias("held_out"), text.alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_texts, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     n_words, n_pairs = 1 + chars // WORD_SEGMENT_CHARS, 1 + chars // PAIR_SEGMENT_CHARS
 
+    frequent = spark.sparkContext.broadcast(_frequent(rows, n_texts))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, (block, own) in enumerate(_blocks(batches)):
-            sent = list(_dealt(first + i, block, own, n_words, n_pairs))
+            sent = list(_dealt(first + i, block, own, n_words, n_pairs, frequent.value))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([x[1] for x in sent], pa.int32()), pa.array([x[2] for x in sent], pa.binary())], ["kind", "segment", "payload"])
 
     dealt = rows.select("key", "held_out", "text").mapInArrow(deal, "kind int, segment int, payload binary")
@@ -333,6 +377,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n, v = totals[0] or 0, totals[1] or 0
     floor = n + 0.5 * (v + 1)
     top = int(level_of(np.array([max(n, 1)]))[0])
+    exact = [_unpacked(r["payload"], "<u8", "<i8") for r in segments.filter(F.col("kind") == _LISTED).select("payload").collect()]
+    exact = [np.concatenate([x[i] for x in exact]) if exact else np.zeros(0, kind) for i, kind in ((0, "<u8"), (1, "<i8"))]
+    order = np.argsort(exact[0])
+    listed = spark.sparkContext.broadcast((exact[0][order], exact[1][order]))  # FREQUENT_WORDS at most
 
     def scored_with(model) -> DataFrame:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,10 +398,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 log[here] = np.log10((two + mass * (one[w] + 0.5) / floor) / (one[u] + mass))
                 sums = np.bincount(doc, weights=log[inverse], minlength=len(own))
                 sizes = np.bincount(doc, minlength=len(own))
+                place = _listed(hashes, listed.value[0])
+                counts = np.where(place >= 0, listed.value[1][np.maximum(place, 0)], 0) if len(listed.value[0]) else np.zeros(len(hashes))
+                base = np.bincount(doc, weights=np.where(place >= 0, np.log10(counts + 0.5), 0.0)[ids], minlength=len(own))
+                known = np.bincount(doc, weights=(counts > 0)[ids], minlength=len(own)).astype(np.int64)
+                rest = np.bincount(doc, weights=(place < 0)[ids], minlength=len(own)).astype(np.int64)
                 columns = [pa.array([r[i] for r in own], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["doc_id", "key", "held_out", "n_tokens", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(base, pa.float64()), pa.array(known), pa.array(rest)], ["doc_id", "key", "held_out", "n_tokens", "score", "listed", "listed_known", "rest"])
 
-        return rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, score double")
+        return rows.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, score double, listed double, listed_known long, rest long")
 
     scored, others = None, None
     for group, filter_ in enumerate(_gathered(segments, n_words, n_pairs, top)):
@@ -372,16 +425,16 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         others = others.groupBy(F.col("key").alias("other")).agg(F.sum("score").alias("more"))
         scored = scored.join(others, F.col("key") == F.col("other")).withColumn("score", F.col("score") + F.col("more")).drop("other", "more")
 
-    shared = segments.filter("kind = -1").select("block", "payload").groupBy("block").applyInArrow(_shares, "k long, sum double, known long, n long")
+    shared = segments.filter(F.col("kind") == _SHARES).select("block", "payload").groupBy("block").applyInArrow(_shares, "k long, sum double, known long, n long")
     shared = shared.groupBy("k").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known"), F.sum("n").alias("n"))
     both = scored.join(shared, F.col("key") == F.col("k"), "left")
-    copies = F.col("n") / F.col("n_tokens")  # rows with the same id and text were summed together
+    copies = F.col("n") / F.col("rest")  # rows with the same id and text were summed together
     return both.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        F.round(F.col("known") / copies).cast("long").alias("n_known"),
+        (F.col("listed_known") + F.coalesce(F.round(F.col("known") / copies), F.lit(0)).cast("long")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("sum") / copies - F.col("n_tokens") * F.lit(math.log10(floor))).alias("base_score"),
+        (F.col("listed") + F.coalesce(F.col("sum") / copies, F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(floor))).alias("base_score"),
         "score",
     )

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-The model is fitted on a bounded sample of the labelled training rows. All terms that are frequent
+The model is fitted in one worker on a bounded sample of the labelled training rows. All terms that are frequent
 enough in the sample, whatever their labels, go into the machine: a term may say nothing alone and
 all beside another (an insult beside the mention of a group). Linear weights and, through factors,
 weights for pairs of terms are learned together; both shrink towards zero, a term's factors as a
@@ -99,10 +99,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             known = [np.array(sorted(hashed_terms(t) & terms), dtype="<u4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, type=pa.binary())], ["y", "terms"])
 
-    rows = texts.mapInArrow(extract, "y int, terms binary").collect()
-    rows.sort(key=lambda r: (r["y"], bytes(r["terms"])))
-    found = [np.frombuffer(r["terms"], dtype="<u4") for r in rows]
-    return train(found, np.array([r["y"] for r in rows], dtype=np.float64), counts)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((y, t) for batch in batches for y, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = train([np.frombuffer(t, dtype="<u4") for _, t in rows], np.array([y for y, _ in rows], dtype=np.float64), counts)
+        parts = [np.array(list(found.terms), dtype="<u4"), np.array([found.intercept]), found.linear, found.factors]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["terms", "intercept", "linear", "factors"])
+
+    # one worker learns, from 2 * SAMPLE_PER_LABEL rows at most; the weights that are left come here
+    learned = texts.mapInArrow(extract, "y int, terms binary").repartition(1).mapInArrow(learn, "terms binary, intercept binary, linear binary, factors binary").first()
+    kept = np.frombuffer(learned["terms"], dtype="<u4")
+    linear, factors = np.frombuffer(learned["linear"]), np.frombuffer(learned["factors"]).reshape(-1, FACTORS)
+    return Machine({int(t): i for i, t in enumerate(kept)}, float(np.frombuffer(learned["intercept"])[0]), linear, factors, True)
 
 
 def frequent_terms(texts: DataFrame, least: int) -> set[int]:

@@ -33,12 +33,14 @@ def corpus(seed=1, n=80):
 # --- language model
 
 
-def test_base_score_and_counts(spark):
+@pytest.mark.parametrize("frequent", [1, 100, 65_536])
+def test_base_score_and_counts(spark, monkeypatch, frequent):
     rows = corpus()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     counts = Counter(t for i, text in rows if not out(i) for t in tokens(text))
     n, v = sum(counts.values()), len(counts)
+    monkeypatch.setattr(ngram_lm, "FREQUENT_WORDS", frequent)  # any list gives the same
     got = ngram_lm.score_documents(frame(spark, rows).repartition(3)).collect()
     assert len(got) == len(rows)
     by_id = defaultdict(list)
@@ -56,6 +58,35 @@ def test_base_score_and_counts(spark):
     assert ngram_lm.score_documents(frame(spark, [])).count() == 0
 
 
+def test_score_against_brute_force(spark):
+    """The filter's counts are the levels of the exact ones, but for a few that are read a level too high."""
+    rows = [(i, t) for i, t in corpus(n=300) if i is not None]
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    one, two = Counter(), Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update(tokens(text))
+            two.update(zip([b"", *tokens(text)], tokens(text), strict=False))
+    n, v = sum(one.values()), len(one)
+    read = lambda c: float(ngram_lm.count_of(ngram_lm.level_of(np.array([c])))[0]) if c else 0.0
+    level = {x: read(c) for x, c in (one | two).items()}
+
+    def score(text):
+        total, before = 0.0, b""
+        for w in tokens(text):
+            c, p = level.get(w, 0.0), level.get(before, 0.0)
+            total += math.log10((min(level.get((before, w), 0.0), c, p) + ngram_lm.MASS * (c + 0.5) / (n + 0.5 * (v + 1))) / (p + ngram_lm.MASS))
+            before = w
+        return total
+
+    got = ngram_lm.score_documents(frame(spark, rows)).collect()
+    texts = defaultdict(set)
+    for i, text in rows:
+        texts[i].add(text)
+    errors = [abs(g.score - score(t)) / abs(score(t)) for g in got for t in texts[g.doc_id] if len(texts[g.doc_id]) == 1]
+    assert len(errors) > 250 and max(errors) < 0.15 and float(np.mean(errors)) < 0.04
+
+
 def test_filter_never_reads_too_low_and_folds():
     r = np.random.default_rng(1)
     hashes = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))
