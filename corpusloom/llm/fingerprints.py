@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text's words are hashed, each run of K words gets one hash from theirs, and of every W runs in a
-row the smallest hash is selected, the rightmost of equal ones. Selected hashes keep their
-positions. Texts that share a passage of K + W - 1 words share a selected hash.
+Each run of K code points has a polynomial hash. It is rolled by doubling: the hash of 2 m code points
+comes from those of the m first and the m next, so that a code point is hashed once, whatever K. Of every
+W runs in a row the smallest hash is selected, the rightmost of equal ones, and keeps its position.
+Texts that share SPAN = K + W - 1 code points share a selected hash, in any script and wherever the
+words begin; a text of fewer has one window.
 
-A hash and its position are one long, the hash in the upper 32 bits and the position counted down
+A hash and its position are one long, the hash in the upper bits and the position counted down
 below it, so that the smallest long is the smallest hash with the rightmost position, and a window's
 minimum takes log2(W) element-wise minima of shifted arrays.
 """
@@ -18,12 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words of a run, and runs of a window (a power of two).
-K, W = 5, 8
-#: Characters of one range of documents; ranges are the unit of the one shuffle.
+#: Code points of a run, and runs of a window (powers of two).
+K, W = 8, 32
+SPAN = K + W - 1
+#: Characters of one range of documents; ranges are the unit of the one shuffle. Beyond MAX_RANGES they get
+#: larger: a task sorts more, on disk if need be, and holds one row and the next.
 RANGE_CHARS = 8_000_000
 MAX_RANGES = 100_000
 
+#: The polynomial's prime modulus and base.
+_PRIME, _BASE = (1 << 31) - 1, 1_103_515_245
 _POSITION_BITS = 31
 _LAST_POSITION = (1 << _POSITION_BITS) - 1
 
@@ -33,25 +39,44 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _shifted(v: Column, step: int) -> Column:
+    return F.slice(v, F.lit(step + 1), F.greatest(F.size(v), F.lit(1)))
+
+
 def selected(text: Column) -> Column:
     """array<long>: the selected hashes with their positions, in their order; null counts as empty."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+", -1), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    text = F.coalesce(text, F.lit(""))
+    points = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(_LAST_POSITION)) % F.lit(_PRIME))
+    points = F.concat(points, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(K) - F.length(text), F.lit(0))))
 
-    def runs(h: Column) -> Column:
-        begins = F.slice(h, F.lit(1), F.greatest(F.size(h) - (K - 1), F.lit(1)))
-        run = lambda _, i: F.shiftleft(F.xxhash64(F.slice(h, i + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFFFF)), _POSITION_BITS).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long"))
-        return F.transform(begins, run)
+    def runs(v: Column, m: int = 1) -> Column:
+        if m == K:
+            place = lambda h, i: F.shiftleft(h, _POSITION_BITS).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long"))
+            return F.transform(F.slice(v, F.lit(1), F.size(v) - (K - 1)), place)
+        power = F.lit(pow(_BASE, m, _PRIME)).cast("long")
+        return _let(F.zip_with(v, _shifted(v, m), lambda a, b: (a * power + b) % F.lit(_PRIME)), lambda h: runs(h, 2 * m))
 
     def minima(v: Column, step: int = 1) -> Column:
         if step == W:
             return v
-        return _let(F.zip_with(v, F.slice(v, F.lit(step + 1), F.greatest(F.size(v), F.lit(1))), lambda a, b: F.least(a, b)), lambda m: minima(m, 2 * step))
+        return _let(F.zip_with(v, _shifted(v, step), lambda a, b: F.least(a, b)), lambda m: minima(m, 2 * step))
 
     def windows(v: Column) -> Column:
         return F.array_distinct(F.slice(minima(v), F.lit(1), F.greatest(F.size(v) - (W - 1), F.lit(1))))
 
-    return _let(hashed, lambda h: _let(runs(h), windows))
+    return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(points, lambda v: _let(runs(v), windows)))
+
+
+def selected_after(chosen: Column, kept: Column, text: Column) -> Column:
+    """`selected` of a text of which the first `kept` code points are those of another, with `chosen`.
+
+    Windows within what is kept select what they did; they are those before the last such window's
+    choice. The others begin with that window.
+    """
+    start = F.greatest(kept - SPAN, F.lit(0))
+    rest = F.transform(selected(F.substring(text, start + 1, F.length(text))), lambda x: x - start)
+    place = lambda x: x.bitwiseAND(F.lit(_LAST_POSITION))
+    return _let(rest, lambda r: F.when(start > 0, F.concat(F.filter(chosen, lambda x: place(x) > place(r[0])), r)).otherwise(r))
 
 
 def hashes(chosen: Column) -> Column:
@@ -71,40 +96,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
-def _range_of(key: Column, firsts: list[int]) -> Column:
+def _range_of(key: Column, firsts: list) -> Column:
     """The place of the last of the sorted `firsts` that isn't above the key, found in two steps."""
     width = max(1, math.isqrt(len(firsts)))
     groups = [firsts[i : i + width] for i in range(0, len(firsts), width)]
-    longs = lambda text: F.split(text, ",").cast("array<long>")
+    numbers = lambda text: F.split(text, ",").cast("array<decimal(38,0)>")
     below = lambda array: F.size(F.filter(array, lambda b: b <= key))
-    group = below(longs(F.lit(",".join(str(g[0]) for g in groups)))) - 1
-    within = longs(F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")[group])
-    return (group * width + below(within) - 1).cast("int")
+    group = F.greatest(below(numbers(F.lit(",".join(str(g[0]) for g in groups)))) - 1, F.lit(0))
+    within = numbers(F.split(F.lit(";".join(",".join(map(str, g)) for g in groups)), ";")[group])
+    return F.greatest(group * width + below(within) - 1, F.lit(0)).cast("int")
+
+
+def _order_key() -> Column:
+    """A number that orders rows by doc_id, null last, then a hash of the text."""
+    digits = lambda x: x.cast("decimal(38,0)")
+    of_id = F.coalesce(digits(F.col("doc_id")) + digits(F.lit(str(1 << 63))), digits(F.lit(str(1 << 64))))
+    return (digits(of_id * F.lit(1 << 48).cast("decimal(15,0)")) + digits(F.xxhash64("text").bitwiseAND(F.lit((1 << 48) - 1)))).cast("decimal(38,0)")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, chosen and those of the next document (next_text, next_chosen) of every document.
 
     The order is by doc_id (null last; ties by a hash of the text), and the first follows the last.
-    Texts move once, to ranges of ids; the first document of each range also goes to the range
-    before, where it follows the last. The ranges' first ids, at most MAX_RANGES, go to the driver.
+    Texts move once, to ranges of that order, whatever ids are null or repeated; the first document of
+    each range also goes to the range before, where it follows the last. Rows alike in id and text share
+    a range, which a task sorts, on disk if need be, and goes through row by row. The ranges' first
+    places, at most MAX_RANGES, go to the driver.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", _order_key())
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n = min(MAX_RANGES, max(1, chars // RANGE_CHARS))
-    ids = docs.select("doc_id").filter("doc_id is not null")
-    firsts = sorted(r["first"] for r in ids.repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).collect())
-    if firsts:
-        last = len(firsts) - 1
-        own = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(_range_of(F.col("doc_id"), firsts))
-        is_first = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<long>")[F.col("own")] == F.col("doc_id")
-        before = F.when(is_first, F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1))
-        docs = docs.withColumn("own", own).withColumn("copies", F.array_compact(F.array(F.struct("own", F.lit(False).alias("copy")), F.when(is_first, F.struct(before.alias("own"), F.lit(True).alias("copy"))))))
-        docs = docs.select("doc_id", "text", F.inline("copies").alias("range", "copy"))
-    else:  # no ids at all: one range, and nobody knows which is first
-        docs = docs.select("doc_id", "text", F.explode(F.array(F.lit(False), F.lit(True))).alias("copy"), F.lit(0).alias("range"))
+    firsts = sorted(r["first"] for r in docs.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("first")).collect())
+    last = max(0, len(firsts) - 1)
+    own = _range_of(F.col("key"), firsts or [0])
+    is_first = F.split(F.lit(",".join(map(str, firsts))), ",")[F.col("own")] == F.col("key").cast("string")
+    before = F.when(is_first, F.when(F.col("own") == 0, F.lit(last)).otherwise(F.col("own") - 1))
+    docs = docs.withColumn("own", own).withColumn("copies", F.array_compact(F.array(F.struct("own", F.lit(False).alias("copy")), F.when(is_first, F.struct(before.alias("own"), F.lit(True).alias("copy"))))))
+    docs = docs.select("doc_id", "key", "text", F.inline("copies").alias("range", "copy"))
     placed = docs.repartition("range").withColumn("chosen", selected(F.col("text")))
-    order = Window.partitionBy("range").orderBy("copy", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    order = Window.partitionBy("range").orderBy("copy", "key")
     followed = placed.withColumn("next", F.lead(F.struct("text", "chosen")).over(order)).filter(~F.col("copy"))
     return followed.select("doc_id", "text", "chosen", F.col("next.text").alias("next_text"), F.col("next.chosen").alias("next_chosen"))
 
@@ -121,7 +151,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     both = with_next(docs).withColumn("edited", edited)
-    both = both.withColumn("edited_chosen", selected(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = both.withColumn("edited_chosen", selected_after(F.col("chosen"), F.length("text") - half, F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     own = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_sha256", "chosen", "edited_chosen", hashes(F.col("chosen")).alias("h"), hashes(F.col("edited_chosen")).alias("e"), hashes(F.col("next_chosen")).alias("x"))
     return own.select(
         "doc_id",

@@ -266,13 +266,25 @@ def test_near_duplicates(spark):
 # --- fingerprints
 
 
-def brute_selected(spark_hash, text):
-    w = [x for x in __import__("re").split(r"[ \t\n\x0b\f\r]+", text) if x]
-    if not w:
-        return set()
-    h = [spark_hash[x] for x in w]
-    grams = [tuple(h[i : i + fingerprints.K]) for i in range(max(1, len(h) - fingerprints.K + 1))]
-    return grams
+def brute_selected(point_hash, text):
+    """The selected hashes with their positions, by definition: each run on its own, each window on its own."""
+    digits = [point_hash[c] % fingerprints._PRIME for c in text]
+    if not digits:
+        return ""
+    digits += [0] * (fingerprints.K - len(digits))
+    runs = []
+    for i in range(len(digits) - fingerprints.K + 1):
+        h = 0
+        for d in digits[i : i + fingerprints.K]:
+            h = (h * fingerprints._BASE + d) % fingerprints._PRIME
+        runs.append(h)
+    out = []
+    for i in range(max(1, len(runs) - fingerprints.W + 1)):
+        window = runs[i : i + fingerprints.W]
+        at = i + len(window) - 1 - window[::-1].index(min(window))
+        if (runs[at], at) not in out:
+            out.append((runs[at], at))
+    return " ".join(f"{h:x}:{at}" for h, at in out)
 
 
 def test_edits(spark):
@@ -312,22 +324,51 @@ def test_many_ranges(spark, monkeypatch):
 
 def test_selection_against_brute_force(spark):
     r = random.Random(6)
-    texts = [words(r, n, 50) for n in (0, 1, 3, 4, 5, 6, 11, 12, 13, 40, 200)]
-    longs = sorted({w for t in texts for w in t.split()})
-    hashed = {x.w: x.h for x in spark.createDataFrame([(w,) for w in longs], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    grams = {t: brute_selected(hashed, t) for t in texts}
-    rows = [(list(g),) for g in {g for v in grams.values() for g in v}]
-    low = {tuple(x.g): x.h & 0xFFFFFFFF for x in spark.createDataFrame(rows, "g array<long>").select("g", F.xxhash64("g").alias("h")).collect()}
+    texts = [words(r, n, 50)[:m] for n, m in ((0, 0), (1, 1), (9, 7), (9, 8), (9, 9), (20, 38), (20, 39), (20, 40), (90, 500))]
+    texts += ["é😀 ü\n" * 30, "q" * 100, "".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(200))]
+    points = sorted({c for t in texts for c in t})
+    hashed = {x.c: x.h & 0x7FFFFFFF for x in spark.createDataFrame([(c,) for c in points], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.as_string(fingerprints.selected(F.col("t"))).alias("s")).collect()
+    assert len(got) == len(texts)
     for x in got:
-        h = [low[g] for g in grams[x.t]]
-        want = []
-        for i in range(max(1, len(h) - fingerprints.W + 1) if h else 0):
-            window = h[i : i + fingerprints.W]
-            at = i + len(window) - 1 - window[::-1].index(min(window))
-            if (h[at], at) not in want:
-                want.append((h[at], at))
-        assert x.s == " ".join(f"{a:x}:{b}" for a, b in want)
+        assert x.s == brute_selected(hashed, x.t)
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    r = random.Random(9)
+    texts = [words(r, r.randint(0, 60), 50) for _ in range(40)] + ["", "x", "日本" * 70]
+    rows = [(i, t, o, k) for i, (t, o) in enumerate(zip(texts, texts[::-1], strict=True)) for k in {0, len(t) // 2, len(t)}]
+    docs = spark.createDataFrame([(t, t[:k] + o, k) for _, t, o, k in rows], "t string, e string, k int")
+    both = docs.select(fingerprints.selected(F.col("e")).alias("a"), fingerprints.selected_after(fingerprints.selected(F.col("t")), F.col("k"), F.col("e")).alias("b")).collect()
+    assert all(x.a == x.b for x in both)
+
+
+def test_shared_runs_share_a_hash_in_any_script(spark):
+    r = random.Random(10)
+    run = "".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(fingerprints.SPAN))
+    around = lambda: "".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(r.randint(0, 300)))
+    docs = spark.createDataFrame([(around() + run + around(), around() + run + around()) for _ in range(60)], "a string, b string")
+    h = lambda name: fingerprints.hashes(fingerprints.selected(F.col(name)))
+    assert docs.filter(F.size(F.array_intersect(h("a"), h("b"))) == 0).count() == 0
+    half = [(i, "".join(chr(0x4E00 + r.randint(0, 9000)) for _ in range(2000))) for i in range(8)]
+    got = fingerprints.fingerprint_edits(frame(spark, half)).collect()
+    assert min(g.near_edited for g in got) > 0.2 and max(g.near_next for g in got) < 0.05
+
+
+def test_null_and_repeated_ids_are_dealt_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_CHARS", 500)
+    r = random.Random(11)
+    for rows in ([(None, words(r, 20)) for _ in range(60)], [(7, "the same text in every row " * 3)] * 60, [(r.choice((1, 2, None)), words(r, 20)) for _ in range(60)]):
+        got = fingerprints.fingerprint_edits(frame(spark, rows).repartition(4)).collect()
+        assert sorted(str(g.doc_id) for g in got) == sorted(str(i) for i, _ in rows)
+        following = fingerprints.with_next(frame(spark, rows).repartition(4)).collect()
+        assert sorted(f.text for f in following) == sorted(f.next_text for f in following) == sorted(t for _, t in rows)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            parts = fingerprints.with_next(frame(spark, rows).repartition(4)).select(F.spark_partition_id()).distinct().count()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert parts > 1 or len({t for _, t in rows}) == 1
 
 
 def test_fingerprints_use_no_python(spark):
