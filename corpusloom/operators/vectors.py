@@ -41,48 +41,61 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(n), lambda m: F.transform(v, lambda x: x.cast("double") / m))[0]
 
 
-def _packed(rows: DataFrame, blocks: int, prefix: str) -> DataFrame:
-    """One row per block: ids, groups and unit vectors as bytes. rows: id, grp (long or null), v."""
+def _packed(rows: DataFrame, blocks: int, prefix: str, same_group: bool) -> DataFrame:
+    """One row per block: ids, groups, bounds and unit vectors as bytes. rows: id, grp (long or null), v and own, a number."""
     def pack(group: pa.Table) -> pa.Table:
         lists = group.column("v").combine_chunks()
         v = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
         v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), ZERO)
-        as_bytes = lambda name: group.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-        return pa.table({f"{prefix}block": pa.array([group.column("block")[0].as_py()], pa.int32()), f"{prefix}ids": pa.array([as_bytes("id")], pa.binary()), f"{prefix}groups": pa.array([as_bytes("grp")], pa.binary()), f"{prefix}vectors": pa.array([v.tobytes()], pa.binary())})
-
-    dealt = rows.select("id", F.coalesce("grp", F.lit(-1).cast("long")).alias("grp"), F.col("v").cast("array<double>").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    schema = f"{prefix}block int, {prefix}ids binary, {prefix}groups binary, {prefix}vectors binary"
-    return dealt.groupBy("block").applyInArrow(pack, schema)
-
-
-def block_pairs(queries: DataFrame, candidates: DataFrame, answer: Callable, schema: str, names: list[str]) -> DataFrame:
-    """Rows of `answer(query ids, query groups, candidate ids, candidate groups, similarities)` over all block pairs."""
+        as_bytes = lambda name, kind: group.column(name).combine_chunks().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+        row = {"pool": group.column("pool")[0].as_py(), "block": group.column("block")[0].as_py(), "ids": as_bytes("id", "<i8"), "groups": as_bytes("grp", "<i8"), "own": as_bytes("own", "<f8"), "vectors": v.tobytes()}
+        types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        return pa.table({prefix + name: pa.array([x], t) for (name, x), t in zip(row.items(), types, strict=True)})
+
+    own = F.col("own") if "own" in rows.columns else F.lit(0.0)
+    grp = F.coalesce("grp", F.lit(-1).cast("long"))
+    dealt = rows.select("id", grp.alias("grp"), own.cast("double").alias("own"), F.col("v").cast("array<double>").alias("v"))
+    dealt = dealt.withColumn("pool", F.col("grp") if same_group else F.lit(0).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    schema = ", ".join(f"{prefix}{c}" for c in ("pool long", "block int", "ids binary", "groups binary", "own binary", "vectors binary"))
+    return dealt.groupBy("pool", "block").applyInArrow(pack, schema)
+
+
+def block_pairs(queries: DataFrame, candidates: DataFrame, answer: Callable, schema: str, names: list[str], *, same_group: bool = False) -> DataFrame:
+    """Rows of `answer(query ids, query groups, bounds, candidate ids, candidate groups, similarities)` over all
+    block pairs; with `same_group`, over those within a group alone."""
     bound_arrow_batches(queries.sparkSession)
     nq, nc = (max(1, -(-x.count() // BLOCK)) for x in (queries, candidates))
-    a = _packed(queries, nq, "q").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    b = _packed(candidates, nc, "c")
-    both = a.join(b, F.col("to") == F.col("cblock")).select("qids", "qgroups", "qvectors", "cids", "cgroups", "cvectors")
+    a = _packed(queries, nq, "q", same_group)
+    b = _packed(candidates, nc, "c", same_group)
+    if same_group:
+        both = a.join(b, F.col("qpool") == F.col("cpool"))
+    else:
+        both = a.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).join(b, F.col("to") == F.col("cblock"))
+    both = both.select("qids", "qgroups", "qown", "qvectors", "cids", "cgroups", "cvectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                qi, qg, qv, ci, cg, cv = (batch.column(j)[i].as_py() for j in range(6))
+                qi, qg, own, qv, ci, cg, cv = (batch.column(j)[i].as_py() for j in range(7))
                 qi, qg, ci, cg = (np.frombuffer(x, dtype="<i8") for x in (qi, qg, ci, cg))
                 qv, cv = (np.frombuffer(x, dtype="<f8").reshape(n, -1) for x, n in ((qv, len(qi)), (cv, len(ci))))
-                columns = answer(qi, qg, ci, cg, np.round(qv @ cv.T, PLACES))
+                columns = answer(qi, qg, np.frombuffer(own, dtype="<f8"), ci, cg, np.round(qv @ cv.T, PLACES))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return both.mapInArrow(run, schema)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, not_self: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, not_self: bool = True, other_group: bool = False) -> DataFrame:
     """query_id, rank, id, grp, score: the k most similar candidates by cosine, ties to the smaller id.
 
-    Both sides: id, grp, v (null groups allowed). Zero vectors are neither found nor answered.
+    Both sides: id, grp, v (null groups allowed). Zero vectors are neither found nor answered. With
+    `other_group`, candidates of the query's own group are left out before the ranking.
     """
-    def answer(qi, qg, ci, cg, sim):
+    def answer(qi, qg, _, ci, cg, sim):
         if not_self:
             sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
+        if other_group:
+            sim = np.where(qg[:, None] == cg[None, :], -np.inf, sim)
         order = np.lexsort((np.broadcast_to(ci, sim.shape), -sim), axis=1)[:, : min(k, len(ci))]
         rows = np.repeat(np.arange(len(qi)), order.shape[1])
         cols = order.ravel()
@@ -96,41 +109,68 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, not_self: bool =
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "grp", "score")
 
 
+def best_per_group(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query_id, grp, id, score: the most similar candidate of each group for each query, ties to the smaller id.
+
+    One pass over the blocks; a block gives one row per query and group. Zero vectors take no part.
+    """
+    def answer(qi, _, own, ci, cg, sim):
+        order = np.lexsort((ci, cg))
+        groups, first = np.unique(cg[order], return_index=True)
+        best = [a + sim[:, order[a:b]].argmax(axis=1) for a, b in zip(first, [*first[1:], len(order)], strict=True)]
+        cols = order[np.concatenate(best)]
+        rows = np.tile(np.arange(len(qi)), len(groups))
+        return qi[rows], np.repeat(groups, len(qi)), ci[cols], sim[rows, cols]
+
+    some = norm(F.col("v")) > 0
+    found = block_pairs(queries.filter(some), candidates.filter(some), answer, "query_id long, grp long, id long, score double", ["query_id", "grp", "id", "score"])
+    best = found.groupBy("query_id", "grp").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("b"))
+    return best.select("query_id", "grp", (-F.col("b.minus")).alias("id"), F.col("b.score").alias("score"))
+
+
 def pessimistic_ranks(queries: DataFrame, candidates: DataFrame, *, mask_same_text: bool = False, same_group: bool = False) -> DataFrame:
     """query_id, rank (from 0): how many other candidates are at least as similar as the own positive.
 
     queries: id, grp, v and own (the similarity to its positive). With `mask_same_text`, a candidate
     with the query's id is its own text and counts only if it is the positive. With `same_group`,
-    candidates of another group are no candidates.
+    candidates of another group are no candidates. A pair of blocks gives one count per query.
     """
-    own = queries.select(F.col("id").alias("query_id"), F.round("own", PLACES).alias("own"), F.col("positive_id"))
-
-    def answer(qi, qg, ci, cg, sim):
-        if same_group:
-            sim = np.where(qg[:, None] == cg[None, :], sim, -np.inf)
+    def answer(qi, _, own, ci, cg, sim):
+        above = sim >= own[:, None]
         if mask_same_text:
-            sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
-        # similarities of a block, best first, are all that a count needs
-        order = -np.sort(-sim, axis=1)
-        return qi, [row.tobytes() for row in order]
-
-    blocks = block_pairs(queries.select("id", "grp", "v"), candidates, answer, "query_id long, sims binary", ["query_id", "sims"])
+            above &= qi[:, None] != ci[None, :]
+        return qi, above.sum(axis=1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.searchsorted(-np.frombuffer(s, dtype="<f8"), -o, side="right")) for s, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["query_id", "n"])
-
-    counted = blocks.join(own, "query_id").select("query_id", "sims", "own").mapInArrow(count, "query_id long, n long")
+    rows = queries.select("id", "grp", "v", F.round("own", PLACES).alias("own"))
+    counted = block_pairs(rows, candidates, answer, "query_id long, n long", ["query_id", "n"], same_group=same_group)
     return counted.groupBy("query_id").agg((F.sum("n") - 1).alias("rank"))
 
 
 def mean_pool(tokens: DataFrame, vectors: DataFrame, weight: Column | None = None) -> DataFrame:
-    """doc_id, v: (weighted) mean of the vectors of a document's known tokens; none known: no row."""
+    """doc_id, v: (weighted) mean of the vectors of a document's known tokens; none known: no row.
+
+    Tokens are counted by document first; a task adds up the vectors of each document it has and passes on
+    one sum for each.
+    """
     w = F.lit(1.0) if weight is None else weight
-    joined = tokens.join(vectors, "token").select("doc_id", w.alias("w"), F.posexplode("v").alias("d", "x"))
-    sums = joined.groupBy("doc_id", "d").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.count("*")).alias("x"))
-    return sums.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    counts = tokens.repartition("doc_id").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    joined = counts.join(vectors, "token").select(F.col("doc_id").cast("long").alias("doc_id"), "n", w.cast("double").alias("w"), F.col("v").cast("array<double>").alias("v"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                docs, n, weights = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                v = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(docs), -1) * (n * weights)[:, None]
+                order = np.argsort(docs, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], docs[order][1:] != docs[order][:-1]]))
+                sums = np.add.reduceat(v[order], first, axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[order][first]), pa.array(np.add.reduceat(n[order], first)), lists], ["doc_id", "n", "v"])
+
+    bound_arrow_batches(tokens.sparkSession)
+    sums = joined.mapInArrow(add, "doc_id long, n long, v array<double>").groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("v").alias("parts"))
+    total = F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), F.col("parts")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return sums.select("doc_id", F.transform(total, lambda x: x / F.col("n")).alias("v"))
 
 
 def sif_weight(frequency: Column, total: Column, alpha: float = 1e-3) -> Column:
@@ -169,6 +209,26 @@ def spectrum(rows: DataFrame, share: float = 0.95) -> dict[str, float]:
     return {"isotropy": float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else 0.0, "effective_dimensions": float(dims)}
 
 
+def mean_pairwise_similarity(rows: DataFrame) -> DataFrame:
+    """mean_similarity, pairs: mean cosine over all pairs of vectors that aren't zero, in one pass.
+
+    The squared length of the sum of n unit vectors is n and twice the sum over pairs.
+    """
+    some = rows.filter(norm(F.col("v")) > 0).select(unit(F.col("v")).alias("v"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                sums = v.sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows] * len(sums)), pa.array(np.arange(len(sums))), pa.array(sums)], ["n", "d", "x"])
+
+    sums = some.mapInArrow(add, "n long, d long, x double").groupBy("d").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    out = sums.agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("length"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return out.select(((F.col("length") - F.col("n")) / 2 / F.nullif(pairs, F.lit(0.0))).alias("mean_similarity"), F.coalesce(pairs, F.lit(0)).cast("long").alias("pairs"))
+
+
 def remove_common_direction(rows: DataFrame) -> DataFrame:
     """Vectors without their part along the leading direction of all of them (two or more, else as they are)."""
     some = rows.filter(norm(F.col("v")) > 0)

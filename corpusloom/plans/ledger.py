@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.runtime import durable, few
+
 REASON = "reject_reason"
 ACCEPTED = "accepted"
 
@@ -31,14 +33,15 @@ def judge(df: DataFrame, rules: Rules) -> DataFrame:
 def reject_repeats(df: DataFrame, key: Column, order: list[Column], name: str = "duplicate") -> DataFrame:
     """Of rows with one key that no rule has hit so far, all but the first are repeats.
 
-    The first is an aggregate with map-side combining, so a key with a great share of all rows is
-    combined before the shuffle; only keys that repeat are joined back, and AQE can split that join.
+    The first is an aggregate of digests and places with map-side combining, so a key with a great share
+    of all rows is combined before the shuffle and no text moves. Only keys that repeat are joined back:
+    broadcast if they are few, else by a shuffle that AQE can split. Columns of any name pass through.
     """
-    marked = df.withColumn("__key", F.when(F.col(REASON).isNull(), F.sha2(key.cast("binary"), 256))).withColumn("__place", F.struct(*order))
-    groups = marked.filter("__key is not null").groupBy(F.col("__key").alias("__k")).agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
-    joined = marked.join(groups.filter("__n > 1"), F.col("__key") == F.col("__k"), "left")
-    repeat = F.col("__first").isNotNull() & (F.col("__place") != F.col("__first"))
-    return joined.withColumn(REASON, F.coalesce(REASON, F.when(repeat, F.lit(name)))).select(*df.columns)
+    marked = df.select(F.when(df[REASON].isNull(), F.sha2(key.cast("binary"), 256)).alias("key"), F.struct(*order).alias("place"), F.struct("*").alias("row"))
+    groups = marked.filter("key is not null").groupBy(F.col("key").alias("k")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    joined = marked.join(few(groups.filter("n > 1").select("k", "first")), F.col("key") == F.col("k"), "left")
+    repeat = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
+    return joined.select(F.col("row").withField(REASON, F.coalesce(F.col("row").getField(REASON), F.when(repeat, F.lit(name)))).alias("row")).select("row.*")
 
 
 def accepted(df: DataFrame) -> DataFrame:
@@ -56,8 +59,6 @@ def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     Rows are range-partitioned by the order; places within a partition are shifted by the sizes of
     those before, one number per partition.
     """
-    from corpusloom.runtime import durable
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}

@@ -652,16 +652,11 @@ def knn_top_k(spark, sf):
     return vectors.top_k(rows.filter("id % 5 = 0"), rows, 5).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {S_VEC}, q AS (SELECT vec_id, label, v FROM e WHERE vec_id IN (0, 1, 2)) SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S_SIM} DESC, b.vec_id)::INT AS rank FROM q a JOIN e b ON a.vec_id <> b.vec_id AND b.label <> a.label QUALIFY rank <= 10")
+@query(f"WITH {S_VEC} SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S_SIM} DESC, b.vec_id)::INT AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.label <> a.label WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10")
 def most_similar_excluding(spark, sf):
-    """Nearest tokens of a few, those of the same group left out before the ranking."""
+    """Nearest vectors, those of the query's own group left out before the ranking."""
     rows = vectors_of(spark, sf)
-    asked = rows.filter(F.col("id").isin(0, 1, 2))
-    out = None
-    for r in asked.collect():  # three queries
-        part = vectors.top_k(asked.filter(F.col("id") == r["id"]), rows.filter(F.col("grp") != r["grp"]), 10).select("query_id", "id", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return vectors.top_k(rows.filter("id % 50 = 0"), rows, 10, other_group=True).select("query_id", "id", "rank")
 
 
 S_PAIRS = "p AS MATERIALIZED (SELECT a.vec_id // 2 AS id, a.label AS document, b.label AS found, a.embedding::DOUBLE[] AS q, b.embedding::DOUBLE[] AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"
@@ -765,11 +760,7 @@ SELECT asked::BIGINT AS asked, found::BIGINT AS found, count(*)::BIGINT AS queri
 def all_pairs_matrix(spark, sf):
     rows = vector_pairs(spark, sf)
     queries = rows.select("id", F.col("document").alias("grp"), F.col("anchor").alias("v"))
-    pools = [r["found"] for r in rows.select("found").distinct().collect()]  # languages
-    out = None
-    for language in sorted(pools):
-        best = vectors.top_k(queries, rows.filter(F.col("found") == language).select("id", F.col("found").alias("grp"), F.col("positive").alias("v")), 1, not_self=False)
-        out = best if out is None else out.unionByName(best)
+    out = vectors.best_per_group(queries, rows.select("id", F.col("found").alias("grp"), F.col("positive").alias("v")))
     answers = out.join(queries.select(F.col("id").alias("query_id"), F.col("grp").alias("asked")), "query_id").select("asked", F.col("grp").alias("found"), (F.col("id") == F.col("query_id")).cast("int").alias("hit"))
     out = evaluate.language_matrix(answers)
     return out.withColumn("accuracy", F.round("accuracy", 6))
@@ -828,11 +819,11 @@ def zero_vectors(spark, sf):
     return vectors_of(spark, sf).agg(F.count("*").alias("n"), F.count_if(n == 0).alias("zero"), F.round(F.avg(n), 6).alias("mean_norm"))
 
 
-@query(f"WITH {S_VEC}, s AS (SELECT * FROM e ORDER BY {S_HASH('vec_id', 2)}, vec_id LIMIT 200) SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) AS mean_similarity, count(*)::BIGINT AS pairs FROM s a JOIN s b ON a.vec_id < b.vec_id")
+@query(f"WITH {S_VEC} SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) AS mean_similarity, count(*)::BIGINT AS pairs FROM e a JOIN e b ON a.vec_id < b.vec_id")
 def mean_pairwise_similarity(spark, sf):
-    few = select.sample(vectors_of(spark, sf), "id", 200, 2)
-    a, b = few.select("id", F.col("v").alias("va")), few.select(F.col("id").alias("other"), F.col("v").alias("vb"))
-    return a.join(b, F.col("id") < F.col("other")).agg(F.round(F.avg(vectors.cosine(F.col("va"), F.col("vb"))), 6).alias("mean_similarity"), F.count("*").alias("pairs"))
+    """Over all pairs of all vectors."""
+    out = vectors.mean_pairwise_similarity(vectors_of(spark, sf))
+    return out.select(F.round("mean_similarity", 6).alias("mean_similarity"), "pairs")
 
 
 @query(f"""WITH {S_VEC}, n AS (SELECT a.vec_id AS q, (a.label = b.label)::INT AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S_SIM} DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 QUALIFY rank <= 20),

@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch on its way to a Python worker.
 ARROW_BATCH_BYTES = 8 << 20
@@ -31,10 +32,13 @@ def bound_arrow_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where that is unset, a temporary one."""
+    """Use the folder named in spark.checkpoint.dir. Where it is unset, a temporary one will do on one machine
+    alone; on a cluster no executor but the driver's neighbours could read it, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
 
 
@@ -43,7 +47,10 @@ SMALL_INPUT = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input dealt to all cores; larger ones come in as many parts as they are read in."""
+    """A small input dealt to all cores; larger ones come in as many parts as they are read in.
+
+    This changes the layout alone, never the rows; it costs a shuffle of less than SMALL_INPUT.
+    """
     if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL_INPUT:
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
@@ -58,6 +65,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a side that is broadcast; from more on the join shuffles.
+FEW_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df`, written down and counted, with the hint to broadcast it if it has FEW_ROWS at most."""
+    kept = durable_round(df)
+    return F.broadcast(kept) if kept.count() <= FEW_ROWS else kept
+
+
 def durable_round(df: DataFrame) -> DataFrame:
     """`durable` for the rounds of a loop: the optimizer's estimate of the size is forgotten.
 

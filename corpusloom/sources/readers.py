@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions import fixed, text
+from corpusloom.functions import fixed, text, unicode
 
 SECTIONS = "array<struct<heading: string, text: string>>"
 DOCUMENT = ["id", "text", "language", "title", "source", "attributes", "sections"]
@@ -126,7 +126,7 @@ def read_langlinks(spark: SparkSession, path: str, language: str | None = None)
 def articles(pages: DataFrame, language: str | None = None, at_least: int = 200) -> DataFrame:
     """Articles of pages (id, ns, redirect, title, wikitext): namespace 0, no redirects, long enough once
     stripped, without markup left over. Sections without prose go."""
-    rows = pages.filter((F.col("ns").cast("string") == "0") & F.col("redirect").isNull()).withColumn("prose", text.strip_wikitext(F.col("wikitext")))
+    rows = pages.filter((F.col("ns").cast("string") == "0") & F.col("redirect").isNull()).withColumn("prose", unicode.wiki_prose(F.col("wikitext")))
     parts = F.split("prose", r"(?m)^\s*={2,6}\s*(?=\S)")
     lead = F.regexp_replace(parts[0], f"^{fixed.WS}|{fixed.WS}$", "")
     section = lambda p: F.struct(F.trim(F.regexp_extract(p, r"^(.+?)\s*={2,6}", 1)).alias("heading"), F.regexp_replace(F.regexp_replace(p, r"^.+?\s*={2,6}[ \t]*", ""), f"^{fixed.WS}|{fixed.WS}$", "").alias("text"))

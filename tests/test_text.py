@@ -25,7 +25,7 @@ def test_white_space_is_that_of_python(spark):
 def test_script_ranges_are_disjoint():
     ranges = sorted(r for rs in fixed.SCRIPTS.values() for r in rs)
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
-    assert sum(len(v.split(",")) for v in fixed.LANGUAGES.values()) == 43
+    assert len(fixed.LANGUAGES) == 43 and {script for _, script in fixed.LANGUAGES.values()} <= set(fixed.SCRIPTS)
 
 
 @pytest.mark.parametrize(
@@ -91,12 +91,31 @@ def test_script_pre_tokens():
     assert unicode.script_pre_tokens("hello世界 мир, ok") == ["hello", "世", "界", "мир", ",", "ok"]
 
 
-def test_wikitext(spark):
-    t = "'''Bold''' [[Page|shown]] [[File:x.png|thumb]] {{tpl|a}} <ref>gone</ref> text<!-- no --> [https://x.org link] {| t |}&nbsp;end"
-    assert value(spark, text.strip_wikitext, t).split() == "Bold shown text link end".split()
+@pytest.mark.parametrize(
+    ("markup", "prose"),
+    [
+        ("'''Bold''' [[Page|shown]] [[File:x.png|thumb]] {{tpl|a}} <ref>gone</ref> text<!-- no --> [https://x.org link] {| t |}&nbsp;end", "Bold shown text link end"),
+        ("a {{x|{{y|{{z}} b}} c}} d", "a d"),  # any depth
+        ("a [[File:p.png|thumb|of [[Here|there]]]] b [[Plain]] c", "a b Plain c"),
+        ("a {{never closed [[b]]", "a {{never closed b"),
+        ("a ]] b <ref name=x/> c<br/>d <ref>e {{f}}</ref> g", "a ]] b cd g"),
+        ("a<!-- to the end", "a"),
+        ("", ""),
+    ],
+)
+def test_wikitext(spark, markup, prose):
+    assert value(spark, unicode.wiki_prose, markup) == prose
+
+
+def test_markup(spark):
     assert value(spark, text.has_markup, "a [[b") is True and value(spark, text.has_markup, "plain") is False
 
 
+def test_language_names_and_scripts(spark):
+    assert [value(spark, text.language_name, c) for c in ("hi", "EN-gb", "xx", "1")] == ["Hindi", "English", "xx", None]
+    assert [value(spark, text.expected_script, c) for c in ("hi", "ru_RU", "xx", None)] == ["Deva", "Cyrl", None, None]
+
+
 def test_language_codes(spark):
     for code, want in (("en", "en"), (" EN-us", "en"), ("zh_Hant", "zh"), ("mai", "mai"), ("e", None), ("1x", None)):
         assert value(spark, text.language_code, code) == want
