@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import importlib
 import json
 import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.functions.encoders import hash_encoder
 from corpusloom.operators import corpus
 from corpusloom.plans import config, pipelines
+from corpusloom.runtime import bound_arrow_batches
 from corpusloom.sources import readers, writers
 
 
@@ -57,6 +61,62 @@ def mine_pairs(spark: SparkSession, settings: config.Settings, args: argparse.Na
     return 0
 
 
+def extract_judgments(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Documents of binary files by --reader module:function, from bytes to the texts of pages."""
+    bound_arrow_batches(spark)  # workers learn where the package is
+    module, _, function = args.reader.partition(":")
+    documents = readers.read_with(spark, settings.corpus.source, getattr(importlib.import_module(module), function))
+    print(json.dumps({"written": writers.write_jsonl(corpus.deduplicate(documents.withColumnRenamed("id", "doc_id")), args.output, gzip=True)}))
+    return 0
+
+
+def mine_aligned(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Pairs of two corpora, --target the other, whose pages --links (an SQL dump) connects."""
+    target = pipelines.read_corpus(spark, dataclasses.replace(settings.corpus, source=args.target, language=args.target_language))
+    links = readers.read_langlinks(spark, args.links, args.target_language)
+    found, documents, ledger = pipelines.mine_aligned(pipelines.read_corpus(spark, settings.corpus), links, target)
+    print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found.withColumnRenamed("doc_id", "document")), args.output, gzip=True)}))
+    _say("documents", documents)
+    _say("ledger", ledger)
+    return 0
+
+
+def ingest_parallel(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Pairs of two line-aligned files, the corpus's source and --target."""
+    side = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", -1)).alias("n", "line")).select(F.col("n").cast("long").alias("n"), "line")
+    found, ledger = pipelines.ingest_parallel(side(settings.corpus.source), side(args.target), settings.corpus.language or "", args.target_language)
+    print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found.withColumn("document", F.col("doc_id").cast("string"))), args.output, gzip=True)}))
+    _say("ledger", ledger)
+    return 0
+
+
+def prepare_eval(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """The held-out pairs, and the rest without what shares a document or a text with them."""
+    train, held_out, ledger = pipelines.select_pairs(writers.pairs_from_records(spark.read.json(settings.corpus.source)), None, settings.selection)
+    written = {name: writers.write_jsonl(writers.pair_records(rows), f"{args.output}/{name}", gzip=True) for name, rows in (("train", train), ("eval", held_out))}
+    print(json.dumps({"written": written}))
+    _say("ledger", ledger)
+    return 0
+
+
+def adapt(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """What a training run needs and what it will be held against: the selected pairs, and the report of the
+    encoder as it is on the held-out ones. The training itself is another program's."""
+    code = prepare_eval(spark, settings, args)
+    report, separation = pipelines.score_pairs(spark.read.json(f"{args.output}/eval"), hash_encoder())
+    _say("before", report)
+    _say("separation", separation)
+    return code
+
+
+def train(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """A vocabulary and word vectors, saved with their headers."""
+    docs = corpus.deduplicate(pipelines.read_corpus(spark, settings.corpus))
+    known, found = pipelines.train_vectors(docs, min_count=args.min_count)
+    print(json.dumps({"written": {"vocabulary": writers.save_table(known, f"{args.output}/vocabulary", "vocabulary"), "vectors": writers.save_table(found, f"{args.output}/vectors", "vectors")}}))
+    return 0
+
+
 def mine_negatives(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
     pairs = writers.pairs_from_records(spark.read.json(settings.corpus.source))
     out, statistics = pipelines.mine_negatives(pairs, hash_encoder(), settings.negatives)
@@ -81,7 +141,7 @@ def evaluate(spark: SparkSession, settings: config.Settings, args: argparse.Name
     return 0
 
 
-COMMANDS = {"stats": stats, "validate": validate, "extract": extract, "mine-pairs": mine_pairs, "mine-negatives": mine_negatives, "search": search, "evaluate": evaluate}
+COMMANDS = {"extract-judgments": extract_judgments, "mine-aligned": mine_aligned, "ingest-parallel": ingest_parallel, "prepare-eval": prepare_eval, "finetune": adapt, "adapt": adapt, "train": train, "stats": stats, "validate": validate, "extract": extract, "mine-pairs": mine_pairs, "mine-negatives": mine_negatives, "search": search, "evaluate": evaluate}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -92,6 +152,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--set", action="append", default=[], dest="overrides", metavar="KEY=VALUE")
     parser.add_argument("--output", default="out")
     parser.add_argument("--query", default="")
+    parser.add_argument("--target", default="", help="the other corpus or file")
+    parser.add_argument("--target-language", default="")
+    parser.add_argument("--links", default="")
+    parser.add_argument("--reader", default="corpusloom.sources.readers:plain_pages", help="module:function from bytes to the texts of pages")
+    parser.add_argument("--min-count", type=int, default=5)
     parser.add_argument("-k", type=int, default=10)
     parser.add_argument("--strict", action="store_true")
     args = parser.parse_args(argv)

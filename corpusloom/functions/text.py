@@ -133,6 +133,17 @@ def digest(text: Column, size: int = 16) -> Column:
     return F.left(F.sha2(text.cast("binary"), 256), F.lit(size))
 
 
+def hash_iterable(items: Column, size: int = 16) -> Column:
+    """Digest of an array of strings (in NFC), in order; lengths set them apart, so ["ab", "c"] isn't ["a", "bc"]."""
+    parts = F.transform(items, lambda x: F.concat(F.octet_length(x).cast("string"), F.lit(":"), x))
+    return digest(F.array_join(parts, ""), size)
+
+
+def hash_object(fields: dict[str, Column], size: int = 16) -> Column:
+    """Digest of an object as JSON with sorted keys, nulls included."""
+    return digest(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), size)
+
+
 def title_key(title: Column) -> Column:
     """Join key of a page title."""
     return fold(collapse(F.replace(title, F.lit("_"), F.lit(" "))))

@@ -76,11 +76,22 @@ def filter_sentences_within(docs: DataFrame, **limits) -> DataFrame:
     return docs.withColumn("sentences", kept).filter(F.size("sentences") > 0)
 
 
-def validate(docs: DataFrame) -> DataFrame:
-    """doc_id, problems: what makes a document unusable."""
-    body = text.collapse(F.coalesce(F.col(TEXT), F.lit("")))
-    problems = F.array_compact(F.array(F.when(body == "", F.lit("empty text")), F.when(F.size(text.paragraphs(F.coalesce(F.col(TEXT), F.lit("")))) == 0, F.lit("no paragraphs"))))
-    return docs.select(ID, problems.alias("problems"))
+def validate(docs: DataFrame, spans: str | None = None) -> DataFrame:
+    """doc_id, problems: what makes a document unusable.
+
+    With `spans`, a column of the paragraphs' start and end, in order, these are held against the text;
+    else the paragraphs are those of the text.
+    """
+    whole = F.coalesce(F.col(TEXT), F.lit(""))
+    found = [F.when(text.collapse(whole) == "", F.lit("empty text"))]
+    if spans is None:
+        found.append(F.when(F.size(text.paragraphs(whole)) == 0, F.lit("no paragraphs")))
+    else:
+        own = F.coalesce(spans, F.array().cast("array<struct<start: int, end: int>>"))
+        outside = F.exists(own, lambda s: (s["start"] < 0) | (s["end"] > F.length(whole)) | (s["start"] >= s["end"]))
+        overlap = F.exists(text.pairwise(own), lambda p: p["a"]["end"] > p["b"]["start"])
+        found += [F.when(F.size(own) == 0, F.lit("no paragraphs")), F.when(outside, F.lit("span outside of the text")), F.when(overlap, F.lit("spans overlap"))]
+    return docs.select(ID, F.array_compact(F.array(*found)).alias("problems"))
 
 
 def audit(docs: DataFrame, n_sentences: Column | None = None, examples: int = 3) -> DataFrame:

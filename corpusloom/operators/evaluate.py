@@ -95,6 +95,42 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def accuracy(rows: DataFrame, predicted: str, expected: str) -> DataFrame:
+    """n and the share of rows whose prediction is right; 0 without rows. Two nulls are equal."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col(predicted).eqNullSafe(F.col(expected)).cast("double")), F.lit(0.0)).alias("accuracy"))
+
+
+def similarity_correlation(vectors: DataFrame, judged: DataFrame) -> DataFrame:
+    """scored, correlation, coverage: Spearman of cosines with judged scores, over the pairs whose words are both known.
+
+    vectors: word, v; judged: word_a, word_b, score. Fewer than two scored pairs have correlation 0.
+    """
+    from corpusloom.operators.vectors import PLACES, cosine
+
+    side = lambda name: vectors.select(F.col("word").alias(f"word_{name}"), F.col("v").alias(f"v_{name}"))
+    known = judged.join(side("a"), "word_a").join(side("b"), "word_b").select(F.round(cosine(F.col("v_a"), F.col("v_b")), PLACES).alias("cosine"), F.col("score").cast("double").alias("score"))
+    asked = judged.agg(F.count("*").alias("asked"))
+    return spearman(known, "cosine", "score").join(F.broadcast(asked)).select(F.col("n").alias("scored"), F.when(F.col("n") < 2, 0.0).otherwise(F.col("r")).alias("correlation"), F.coalesce(F.col("n") / F.nullif(F.col("asked"), F.lit(0).cast("long")), F.lit(0.0)).alias("coverage"))
+
+
+def analogy_accuracy(vectors: DataFrame, questions: DataFrame) -> DataFrame:
+    """attempted, accuracy, coverage of a : b = c : expected, over the questions whose words are all known.
+
+    vectors: id, grp, v; questions: question_id, a, b, c, expected (ids).
+    """
+    from corpusloom.operators.vectors import analogy
+
+    ids = vectors.select("id")
+    known = questions
+    for name in ("a", "b", "c", "expected"):
+        known = known.join(ids.withColumnRenamed("id", name), name, "left_semi")
+    best = analogy(vectors, known.select("question_id", "a", "b", "c"), 1).select("question_id", "id")
+    right = known.select("question_id", "expected").join(best, "question_id", "left")
+    asked = questions.agg(F.count("*").alias("asked"))
+    out = accuracy(right, "id", "expected").join(F.broadcast(asked))
+    return out.select(F.col("n").alias("attempted"), "accuracy", F.coalesce(F.col("n") / F.nullif(F.col("asked"), F.lit(0).cast("long")), F.lit(0.0)).alias("coverage"))
+
+
 def average_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
     """Ranks with ties averaged, from counts of distinct values: a running sum over those, not over rows."""
     from corpusloom.plans.ledger import numbered

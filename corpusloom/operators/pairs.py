@@ -40,7 +40,7 @@ def structural_pairs(documents: DataFrame, *, anchor_at_least: int = 8, positive
     return _finish(rows, overlap_at_most, overlap_first=True)
 
 
-def _finish(rows: DataFrame, overlap_at_most: float, overlap_first: bool, reversed_overlap: bool = False, key: Column | None = None) -> DataFrame:
+def _finish(rows: DataFrame, overlap_at_most: float, overlap_first: bool, reversed_overlap: bool = False, key: Column | None = None, drop_repeats: bool = True) -> DataFrame:
     """Overlap of the rows that are open, the overlap rule and the repeat rule in the miner's order.
 
     Where overlap comes first it still needs no computing before repeats are known: rows with one key
@@ -48,52 +48,58 @@ def _finish(rows: DataFrame, overlap_at_most: float, overlap_first: bool, revers
     """
     sides = (F.col("positive"), F.col("anchor")) if reversed_overlap else (F.col("anchor"), F.col("positive"))
     key = F.concat_ws("\0", "anchor", "positive") if key is None else key
-    rows = reject_repeats(rows, key, [F.col(c) for c in ORDER])
+    rows = reject_repeats(rows, key, [F.col(c) for c in ORDER]) if drop_repeats else rows
     needed = F.col(REASON).isNull() | (F.col(REASON) == "duplicate") if overlap_first and overlap_at_most < 1 else F.col(REASON).isNull()
     rows = rows.withColumn("overlap", F.when(needed, text.overlap(*sides)))
     too_much = F.col("overlap") > overlap_at_most
     return rows.withColumn(REASON, F.when(needed & too_much, F.lit("overlap")).otherwise(F.col(REASON)))
 
 
-def question_answers(rows: DataFrame, *, question_at_least: int = 8, answer_at_least: int = 20, boilerplate_from: int = 50, overlap_at_most: float = 0.7) -> DataFrame:
-    """Candidates of doc_id, position, question, answer: junk, too short, boilerplate, repeated, overlap.
+#: Settings with every filter relaxed: what a filter takes is what differs from these.
+NAIVE_QUESTIONS = {"question_at_least": 1, "answer_at_least": 1, "boilerplate_from": 0, "overlap_at_most": 1.0, "drop_junk": False, "drop_repeats": False}
+NAIVE_NOTICES = {"subject_at_least": 0, "body_at_least": 0, "overlap_at_most": 1.0, "drop": [], "drop_repeats": False}
+
+
+def question_answers(rows: DataFrame, *, question_at_least: int = 8, answer_at_least: int = 20, boilerplate_from: int = 50, overlap_at_most: float = 0.7, drop_junk: bool = True, drop_repeats: bool = True) -> DataFrame:
+    """Candidates of doc_id, position, question, answer: junk, too short, boilerplate (from 1 on), repeated, overlap.
 
     An answer is boilerplate if it stands that often among all rows, whatever became of them. The
     first of repeated pairs counts as seen even if its overlap is then too great.
     """
     rows = rows.withColumn("anchor", text.collapse(F.col("question"))).withColumn("positive", text.collapse(F.col("answer"))).drop("question", "answer")
-    often = rows.groupBy(F.sha2(text.fold(F.col("positive")).cast("binary"), 256).alias("digest")).agg(F.count("*").alias("times")).filter(F.col("times") >= boilerplate_from)
+    often = rows.groupBy(F.sha2(text.fold(F.col("positive")).cast("binary"), 256).alias("digest")).agg(F.count("*").alias("times")).filter((F.col("times") >= boilerplate_from) & F.lit(boilerplate_from > 0))
     rows = rows.withColumn("digest", F.sha2(text.fold(F.col("positive")).cast("binary"), 256)).join(often, "digest", "left").drop("digest")
     rows = rows.withColumn("kind", F.lit("question_answer")).withColumn("kind_rank", F.lit(0))
     junk = text.fold(F.col("anchor")).isin(fixed.JUNK_QUESTIONS) | F.col("anchor").rlike(r"^[^\p{L}]+$")
     rows = judge(
         rows,
-        [("junk_query", junk), ("short_query", F.length("anchor") < question_at_least), ("short_answer", F.length("positive") < answer_at_least), ("boilerplate_answer", F.col("times").isNotNull())],
+        [("junk_query", junk & F.lit(drop_junk)), ("short_query", F.length("anchor") < question_at_least), ("short_answer", F.length("positive") < answer_at_least), ("boilerplate_answer", F.col("times").isNotNull())],
     ).drop("times")
-    return _finish(rows, overlap_at_most, overlap_first=False, key=F.concat_ws("\0", text.fold(F.col("anchor")), text.fold(F.col("positive"))))
+    return _finish(rows, overlap_at_most, overlap_first=False, key=F.concat_ws("\0", text.fold(F.col("anchor")), text.fold(F.col("positive"))), drop_repeats=drop_repeats)
 
 
-def notices(rows: DataFrame, *, subject_at_least: int = 12, body_at_least: int = 40, overlap_at_most: float = 0.7) -> DataFrame:
+def notices(rows: DataFrame, *, subject_at_least: int = 12, body_at_least: int = 40, overlap_at_most: float = 0.7, drop: list[str] | None = None, drop_repeats: bool = True) -> DataFrame:
     """Candidates of doc_id, subject, body: withdrawn, superseded, annexure alone, short, repeated, redundant.
 
+    `drop` names those of the first four rules that apply (all by default).
+
     Redundancy is the share of the body's words in the subject: a subject drawn from its body is no
     fault, a body that says no more than the subject is.
     """
     rows = rows.withColumn("anchor", text.collapse(F.col("subject"))).withColumn("positive", text.collapse(F.col("body"))).drop("subject", "body")
     rows = rows.withColumn("kind", F.lit("trade_notification")).withColumn("kind_rank", F.lit(0)).withColumn("position", F.lit(0).cast("long"))
     both = F.concat_ws(" ", "anchor", "positive")
-    rows = judge(
-        rows,
-        [
-            ("withdrawn", both.rlike(fixed.WITHDRAWN)),
-            ("superseded", both.rlike(fixed.SUPERSEDED)),
-            ("annexure_only", F.col("positive").rlike(fixed.ANNEXURE)),
-            ("empty_subject", F.col("anchor") == ""),
-            ("short_subject", F.length("anchor") < subject_at_least),
-            ("short_body", F.length("positive") < body_at_least),
-        ],
-    )
-    return _finish(rows, overlap_at_most, overlap_first=False, reversed_overlap=True, key=F.concat_ws("\0", text.fold(F.col("anchor")), text.fold(F.col("positive"))))
+    optional = ("withdrawn", "superseded", "annexure_only", "empty_subject")
+    rules = [
+        ("withdrawn", both.rlike(fixed.WITHDRAWN)),
+        ("superseded", both.rlike(fixed.SUPERSEDED)),
+        ("annexure_only", F.col("positive").rlike(fixed.ANNEXURE)),
+        ("empty_subject", F.col("anchor") == ""),
+        ("short_subject", F.length("anchor") < subject_at_least),
+        ("short_body", F.length("positive") < body_at_least),
+    ]
+    rows = judge(rows, [r for r in rules if drop is None or r[0] in drop or r[0] not in optional])
+    return _finish(rows, overlap_at_most, overlap_first=False, reversed_overlap=True, key=F.concat_ws("\0", text.fold(F.col("anchor")), text.fold(F.col("positive"))), drop_repeats=drop_repeats)
 
 
 def bitext(rows: DataFrame, *, at_least: int = 10, at_most: int = 2000) -> DataFrame:

@@ -108,6 +108,15 @@ def stratified_clusters(rows: DataFrame, cluster: str, language: str, per_langua
     return rows.join(held, F.col(cluster) == F.col("__held"), "left").withColumn("part", F.when(F.col("__held").isNotNull(), "eval").otherwise("train")).drop("__held")
 
 
+def candidate_columns(pairs: DataFrame, batch: str, order: str) -> DataFrame:
+    """batch, column, text: the positives of each batch in their order, then its distinct negatives that are
+    none of its positives, in the order they first come. A batch is bounded by its size."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "positive", F.coalesce("negatives", F.array().cast("array<string>")).alias("negatives"))))
+    rows = pairs.groupBy(batch).agg(ordered.alias("p")).select(batch, F.transform("p", lambda x: x["positive"]).alias("positives"), F.array_distinct(F.flatten(F.transform("p", lambda x: x["negatives"]))).alias("negatives"))
+    extra = F.filter("negatives", lambda n: ~F.array_contains(F.col("positives"), n))
+    return rows.select(batch, F.posexplode(F.concat("positives", extra)).alias("column", "text"))
+
+
 def spaced(ids: list[int], n: int, gap: int) -> list[int]:
     """Ids at least `gap` apart, greedily from the smallest; the gap halves until there are n of them."""
     while True:

@@ -29,6 +29,11 @@ def tokens(docs: DataFrame, *carry: str, kind: str = "word") -> DataFrame:
     return docs.select("doc_id", *carry, F.posexplode(found).alias("position", "token"))
 
 
+def probes(vocab: DataFrame, n: int) -> DataFrame:
+    """The n most frequent tokens, ties by token."""
+    return vocab.orderBy(F.desc("frequency"), "token").limit(n)
+
+
 def coverage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Share of words, and of distinct words, that the vocabulary knows."""
     known = counts.join(vocab.select(F.col("token").alias("word"), "id"), "word", "left")
@@ -91,11 +96,15 @@ def fairness(metrics: DataFrame, column: str = "characters_per_token") -> DataFr
     return positive.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.count("*").alias("languages")).withColumn("ratio", F.col("most") / F.col("least"))
 
 
-def skip_grams(encoded: DataFrame, window: int) -> DataFrame:
-    """centre, context, n of all ids within a window of known ids; no self-join, no shuffle before counting."""
+def skip_grams(encoded: DataFrame, window: int, seed: int | None = None) -> DataFrame:
+    """centre, context, n of all ids within a window of known ids; no self-join, no shuffle before counting.
+
+    With a seed each place has a window of its own, 1 to `window` wide, by a hash of seed, doc_id and place.
+    """
     ids = F.filter("ids", lambda i: i >= len(RESERVED))
-    rows = encoded.select(ids.alias("ids")).select("ids", F.posexplode("ids").alias("p", "centre"))
-    near = F.concat(F.slice("ids", F.greatest(F.col("p") - window + 1, F.lit(1)), F.least(F.col("p"), F.lit(window))), F.slice("ids", F.col("p") + 2, F.lit(window)))
+    width = F.lit(window) if seed is None else (F.pmod(F.xxhash64(F.lit(seed), "doc_id", "p"), F.lit(window)) + 1).cast("int")
+    rows = encoded.select("doc_id", ids.alias("ids")).select("doc_id", "ids", F.posexplode("ids").alias("p", "centre")).withColumn("width", width)
+    near = F.concat(F.slice("ids", F.greatest(F.col("p") - F.col("width") + 1, F.lit(1)), F.least(F.col("p"), F.col("width"))), F.slice("ids", F.col("p") + 2, F.col("width")))
     return rows.select("centre", F.explode(near).alias("context")).groupBy("centre", "context").agg(F.count("*").alias("n"))
 
 
@@ -125,9 +134,12 @@ def keep_probability(vocab: DataFrame, threshold: float = 1e-3) -> DataFrame:
 def mask_tokens(encoded: DataFrame, rate: float = 0.15, mask_id: int = UNK, vocab_size: int = 1000, seed: int = 0) -> DataFrame:
     """doc_id, ids, masked, labels: a hash picks the positions; 8 of 10 are masked, one is another
     token, one stays; labels are -100 where nothing is asked. Reserved ids are never picked."""
-    uniform = lambda i, salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("doc_id"), i), F.lit(1_000_000)) / 1e6
-    picked = lambda x, i: (x >= len(RESERVED)) & (uniform(i, 1) < rate)
-    other = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.lit(3), F.col("doc_id"), i), F.lit(vocab_size - len(RESERVED))) + len(RESERVED)
-    masked = F.transform("ids", lambda x, i: F.when(~picked(x, i), x).when(uniform(i, 2) < 0.8, F.lit(mask_id).cast("long")).when(uniform(i, 2) < 0.9, other(i)).otherwise(x))
-    labels = F.transform("ids", lambda x, i: F.when(picked(x, i), x).otherwise(F.lit(-100).cast("long")))
-    return encoded.select("doc_id", "ids", masked.alias("masked"), labels.alias("labels"))
+    digest = lambda i: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), i.cast("string")).cast("binary"), 256)
+    part = lambda x, place: F.conv(F.substring(x["h"], 8 * place + 1, 8), 16, 10).cast("long")
+    uniform = lambda x, place: part(x, place) / F.lit(float(1 << 32))
+    drawn = encoded.select("doc_id", "ids", F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.when(x >= len(RESERVED), digest(i)).alias("h"))).alias("drawn"))
+    picked = lambda x: F.coalesce(uniform(x, 0) < rate, F.lit(False))
+    other = lambda x: part(x, 2) % F.lit(vocab_size - len(RESERVED)) + len(RESERVED)
+    masked = F.transform("drawn", lambda x: F.when(~picked(x), x["id"]).when(uniform(x, 1) < 0.8, F.lit(mask_id).cast("long")).when(uniform(x, 1) < 0.9, other(x)).otherwise(x["id"]))
+    labels = F.transform("drawn", lambda x: F.when(picked(x), x["id"]).otherwise(F.lit(-100).cast("long")))
+    return drawn.select("doc_id", "ids", masked.alias("masked"), labels.alias("labels"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import corpus, evaluate, joins, pairs, select, vectors
+from corpusloom.operators import corpus, evaluate, joins, pairs, select, vectors, vocab
 from corpusloom.plans.config import CorpusSettings, NegativeSettings, PairSettings, SelectionSettings
 from corpusloom.plans.ledger import accepted, ledger, numbered
 from corpusloom.runtime import durable
@@ -79,6 +79,24 @@ def mine_negatives(pair_rows: DataFrame, encode: Encoder, settings: NegativeSett
     return out, vectors.negative_statistics(walk)
 
 
+def train_vectors(docs: DataFrame, *, size: int = 100, window: int = 5, min_count: int = 5, max_size: int = 200_000, epochs: int = 3, seed: int = 0, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
+    """A vocabulary (id, token, frequency) and a vector (token, v) for each of its words that was learned.
+
+    Skip-grams are learned by the session's own Word2Vec, in so many partitions whose weights are
+    averaged in every round; it has hierarchical softmax in place of negative samples.
+    """
+    from pyspark.ml.feature import Word2Vec
+
+    counts = corpus.word_frequencies(docs)
+    known = durable(vocab.vocabulary(counts, min_count, max_size))
+    rows = docs.select(text.words(F.col("text")).alias("words")).filter(F.size("words") > 1)
+    learner = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v")
+    found = learner.fit(rows).getVectors()
+    from pyspark.ml.functions import vector_to_array
+
+    return known, found.select(F.col("word").alias("token"), vector_to_array("vector").alias("v")).join(known.select("token"), "token", "left_semi")
+
+
 def build_index(rows: DataFrame, encode: Encoder, *, text_col: str = "text", passage_prefix: str = "") -> DataFrame:
     """id, grp, v, text: non-blank texts with unit vectors; texts without a vector are left out."""
     full = rows.filter(text.collapse(F.col(text_col)) != "")

@@ -152,33 +152,16 @@ def corpus_audit(spark, sf):
     return out.select("code", "severity", "n", F.round("share", 9).alias("share"), F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN {s_ws("text")} = '' THEN 2 ELSE 0 END::BIGINT AS problems FROM documents""")
-def validate_documents(spark, sf):
-    return corpus.validate(docs_of(spark, sf)).select("doc_id", long(F.size("problems")).alias("problems"))
-
-
 S_LETTERS = "regexp_replace(text, '[^\\p{L}\\p{M}]', '', 'g')"
 S_LATIN = f"length(regexp_replace({S_LETTERS}, '[^{LATIN}]', '', 'g'))"
 S_OTHER = " + ".join(f"length(regexp_replace({S_LETTERS}, '[^{fixed.script_class(s)}]', '', 'g'))" for s in fixed.SCRIPTS if s != "Latn")
 
 
-@query(f"""SELECT doc_id, CASE WHEN l = 0 THEN 'Zzzz' ELSE 'Latn' END AS script, round(CASE WHEN l = 0 THEN 0 ELSE l / (l + o) END, 6)::DOUBLE AS confidence
-FROM (SELECT doc_id, {S_LATIN} AS l, {S_OTHER} AS o FROM documents)""")
-def script_profile(spark, sf):
-    profile = text.dominant_script(F.col("text"))
-    return docs_of(spark, sf).select("doc_id", profile.alias("p")).select("doc_id", "p.script", F.round("p.confidence", 6).alias("confidence"))
-
-
 @query("SELECT lang, script, count(*)::BIGINT AS documents FROM (SELECT lang, CASE WHEN regexp_matches(text, '[" + LATIN + "]') THEN 'Latn' ELSE 'Zzzz' END AS script FROM documents) GROUP BY ALL")
 def script_statistics(spark, sf):
     return corpus.script_statistics(docs_of(spark, sf), "lang").select("lang", "script", "documents")
 
 
-@query("SELECT lang, NULL::VARCHAR AS inferred, count(*)::BIGINT AS n FROM documents GROUP BY lang")
-def language_inference(spark, sf):
-    return docs_of(spark, sf).groupBy("lang", text.infer_language(F.col("text")).alias("inferred")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT code, CASE WHEN regexp_full_match(p, '[a-z]{2,3}') THEN p END AS language FROM (SELECT code, lower(split_part(replace(trim(code), '_', '-'), '-', 1)) AS p FROM (
 SELECT DISTINCT unnest([lang, upper(lang), ' ' || lang || '-Latn ', lang || '_XX', lang || '9', source]) AS code FROM documents))""")
 def language_codes(spark, sf):
@@ -631,11 +614,6 @@ def subsample_keep(spark, sf):
     return vocab.keep_probability(vocab_of(spark, sf)[1]).select("id", F.round("keep", 9).alias("keep"))
 
 
-@query()
-def masked_tokens(spark, sf):
-    return vocab.mask_tokens(vocab.encode(docs_of(spark, sf), vocab_of(spark, sf)[1]), vocab_size=2000)
-
-
 # --- vectors
 
 S_VEC = "e AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -870,11 +848,6 @@ def prefix_apply(spark, sf):
     return rows.select("doc_id", "kind", "position", F.sha2(F.col("anchor").cast("binary"), 256).alias("anchor"), F.sha2(F.col("positive").cast("binary"), 256).alias("positive"))
 
 
-@query(f"WITH {S_CANDIDATES} SELECT kind, count(*)::BIGINT AS n, '' AS query, '' AS passage FROM judged WHERE reason IS NULL GROUP BY kind")
-def prefix_regime_check(spark, sf):
-    return pairs.check_prefixes(accepted(page_pairs(spark, sf)), "query: ", "passage: ")
-
-
 @query(f"WITH {S_CANDIDATES} SELECT CASE WHEN overlap < 0.3 THEN 'low' WHEN overlap < 0.7 THEN 'mid' ELSE 'high' END AS band, count(*)::BIGINT AS n FROM judged WHERE reason IS NULL GROUP BY 1")
 def overlap_bands(spark, sf):
     return accepted(page_pairs(spark, sf)).groupBy(text.band(F.col("overlap")).alias("band")).agg(F.count("*").alias("n"))
@@ -907,27 +880,6 @@ def script_aware_tokens(spark, sf):
     return docs_of(spark, sf).select("lang", F.explode(run("text")).alias("token")).groupBy("lang").agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("distinct_tokens"))
 
 
-@query(f"SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY {s_ws('text')} ORDER BY doc_id) = 1")
-def stream_dedup(spark, sf):
-    """The streaming deduplicator over all rows, once; its survivors' texts name their first ids."""
-    import uuid
-
-    from corpusloom.runtime import ensure_checkpoint_dir
-    from corpusloom.streaming import dedup
-
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    batch = docs_of(spark, sf)
-    # a stream reads folders: the table's own, or the one that holds its file
-    name = "documents.parquet"
-    source = spark.readStream.schema(table(spark, sf, "documents").schema)
-    source = source.option("pathGlobFilter", name).parquet(sf) if is_file(spark, f"{sf}/{name}") else source.parquet(f"{sf}/{name}")
-    stream = source.select("doc_id", "text")
-    dedup.drain(dedup.deduplicate_stream(stream).select("digest"), f"{root}/out", f"{root}/state")
-    seen = spark.read.parquet(f"{root}/out").select("digest").distinct()
-    return batch.select(corpus.dedup_key().alias("digest"), "doc_id").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(seen, "digest").select("doc_id")
-
-
 def is_file(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads is a file."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -202,6 +202,11 @@ def acts(documents: DataFrame, column: str = "value", at_least: int = 1) -> Data
     return documents.select(parse(F.col(column)).alias("a")).select("a.*").filter(F.size("sections") >= at_least)
 
 
+def plain_pages(contents: bytes) -> list[str]:
+    """Pages of extracted text in UTF-8, set apart by form feeds: a reader for `read_with`."""
+    return contents.decode("utf-8", "replace").split("\f")
+
+
 def read_with(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]], at_least: int = 200) -> DataFrame:
     """Documents of binary files (PDF and the like) by an injected function from bytes to pages."""
     @F.pandas_udf("string")
@@ -223,6 +228,33 @@ def translation_units(rows: DataFrame, dataset: str | None = None, source: str |
     return judge(rows, rules)
 
 
+def read_similarities(spark: SparkSession, path: str) -> DataFrame:
+    """word_a, word_b, score of a JSON Lines file of judged word pairs."""
+    return spark.read.schema("word_a string, word_b string, score double").json(path)
+
+
+def read_analogies(spark: SparkSession, path: str) -> DataFrame:
+    """a, b, c, expected of a JSON Lines file of analogy questions."""
+    return spark.read.schema("a string, b string, c string, expected string").json(path)
+
+
+def bitext_slices(rows: DataFrame, source: str, target: str, by: list[str] | None = None, *, order: str, at_least: int = 10, at_most_rows: int | None = None) -> DataFrame:
+    """Cleaned source and target of parallel rows, both long enough, the first so many of each group.
+
+    Sides are columns, or fields of structs by a dotted name; only these and the group are read.
+    """
+    from pyspark.sql.window import Window
+
+    side = lambda c: text.collapse(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    groups = by or []
+    out = rows.select(*groups, F.col(order).alias("place"), side(source).alias("source"), side(target).alias("target")).filter((F.length("source") >= at_least) & (F.length("target") >= at_least))
+    if at_most_rows is None:
+        return out
+    if not groups:
+        return out.orderBy("place").limit(at_most_rows)
+    return out.withColumn("n", F.row_number().over(Window.partitionBy(*groups).orderBy("place"))).filter(F.col("n") <= at_most_rows).drop("n")
+
+
 def paginate(fetch: Callable[[int, int], dict], limit: int, at_most: int | None = None) -> dict:
     """Records of a paginated service. Offsets advance by what was received; stops on an empty page, at
     `at_most` or when all are there. Returns records, pages, total, stopped and shortfall."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
@@ -47,6 +49,32 @@ def pairs_from_records(records: DataFrame) -> DataFrame:
     return out.withColumn("negatives", F.filter(F.coalesce("negatives", F.array().cast("array<string>")), lambda n: text.collapse(n) != ""))
 
 
+FORMAT_VERSION = 1
+
+
+def save_table(rows: DataFrame, path: str, kind: str, **header: object) -> int:
+    """A vocabulary, vectors, an index or a corpus as a table with a header: its kind, version, rows and more."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/rows")
+    n = seen.get["n"]
+    record = json.dumps({"kind": kind, "version": FORMAT_VERSION, "rows": n} | header, sort_keys=True, default=str)
+    rows.sparkSession.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    return n
+
+
+def load_table(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, dict]:
+    """The rows and the header of such a table; another kind or version, or missing rows, is an error."""
+    header = json.loads(spark.read.text(f"{path}/header").first()["value"])
+    if (header.get("kind"), header.get("version")) != (kind, FORMAT_VERSION):
+        raise ValueError(f"{path} holds {header.get('kind')} version {header.get('version')}, not {kind} version {FORMAT_VERSION}")
+    rows = spark.read.parquet(f"{path}/rows")
+    if (n := rows.count()) != header["rows"]:
+        raise ValueError(f"{path} has {n} rows; its header says {header['rows']}")
+    return rows, header
+
+
 def markdown_report(title: str, rows: DataFrame) -> str:
     """A small metric table as Markdown."""
     columns = rows.columns

@@ -25,8 +25,14 @@ def filter_stream(rows: DataFrame, column: str = "line") -> DataFrame:
     return judge(rows, sentence_rules(F.col(column)))
 
 
-def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
+def windowed_counts(events: DataFrame, time: str, by: str, width: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """Counts by tumbling windows, or sliding ones with `slide`; rows that come later than the delay are left out."""
+    return events.withWatermark(time, delay).groupBy(F.window(time, width, slide or width), by).agg(F.count("*").alias("n"))
+
+
+def session_counts(events: DataFrame, time: str, by: str, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Counts by sessions: rows of one key with less than the gap between them."""
+    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), by).agg(F.count("*").alias("n"))
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str) -> None:

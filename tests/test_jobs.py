@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import cli
 from corpusloom.functions.encoders import encoder, hash_encoder
 from corpusloom.plans import config, pipelines
+from corpusloom.sources import writers
 
 PAIR = "document string, anchor string, positive string, kind string, language string, positive_language string, overlap double"
 
@@ -99,3 +100,30 @@ def test_commands(spark, tmp_path, capsys):
     assert code == 0 and '"recall_at_1"' in out
     code, out = say("search", "--set", f"corpus.source={source}", "--query", "word01", "-k", "2")
     assert code == 0 and out.count('"rank"') == 2
+    code, out = say("prepare-eval", "--set", f"corpus.source={tmp_path / 'pairs'}", "--set", "selection.evaluation_pairs=3", "--output", str(tmp_path / "prepared"))
+    assert code == 0 and '"eval": 3' in out
+    code, out = say("finetune", "--set", f"corpus.source={tmp_path / 'pairs'}", "--set", "selection.evaluation_pairs=4", "--output", str(tmp_path / "tuned"))
+    assert code == 0 and '"report": "before"' in out
+    code, out = say("train", "--set", f"corpus.source={source}", "--output", str(tmp_path / "model"), "--min-count", "2")
+    assert code == 0
+    known, header = writers.load_table(spark, str(tmp_path / "model/vocabulary"), "vocabulary")
+    assert known.count() == header["rows"] > 5
+    assert {r["token"] for r in writers.load_table(spark, str(tmp_path / "model/vectors"), "vectors")[0].collect()} <= {r["token"] for r in known.collect()}
+
+
+def test_two_sided_commands(spark, tmp_path, capsys):
+    say = lambda *a: (cli.main([*a], spark), capsys.readouterr().out)
+    (tmp_path / "a.txt").write_text("one line here\ntwo lines here\n")
+    (tmp_path / "b.txt").write_text("une ligne ici\ncourt\n")
+    code, out = say("ingest-parallel", "--set", f"corpus.source={tmp_path / 'a.txt'}", "--set", "corpus.language=en", "--target", str(tmp_path / "b.txt"), "--target-language", "fr", "--output", str(tmp_path / "bitext"))
+    assert code == 0 and '"written": 1' in out
+    lead = " and more of it so that it is long enough for a lead" * 3
+    for name, title in (("hi", "Earth"), ("ta", "Bhumi")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"id": "1", "title": title, "language": name, "text": f"The lead of {title}{lead}"}))
+    (tmp_path / "links.sql").write_text("INSERT INTO `langlinks` VALUES (1,'ta','Bhumi');\n")
+    code, out = say("mine-aligned", "--set", f"corpus.source={tmp_path / 'hi.jsonl'}", "--target", str(tmp_path / "ta.jsonl"), "--target-language", "ta", "--links", str(tmp_path / "links.sql"), "--output", str(tmp_path / "aligned"))
+    assert code == 0 and '"written": 4' in out
+    (tmp_path / "scans").mkdir()
+    (tmp_path / "scans/one.bin").write_bytes(b"a page of a judgment " * 20)
+    code, out = say("extract-judgments", "--set", f"corpus.source={tmp_path / 'scans'}", "--output", str(tmp_path / "judgments"))
+    assert code == 0 and '"written": 1' in out
