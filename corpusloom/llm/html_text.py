@@ -1,7 +1,7 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; each block of text is a line with its ratio of text
-to tags, where linked text counts for nothing. The ratios are smoothed by a Gaussian, and those at a
+to tags, where linked text counts for nothing but in headings. The ratios are smoothed by a Gaussian, and those at a
 share of the page's usual one or above are dense. Runs of dense lines, with short gaps, are clusters;
 the heavy ones are the content, each together with the rest of the container that it lies in.
 
@@ -30,6 +30,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SILENT = set("script style noscript template head title iframe object svg math audio video canvas select option textarea button datalist".split())
 REGION = set("article main section div td body html blockquote center form".split())
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
@@ -80,7 +81,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, float]] = []  # open elements and the weight of their text
         self.open: Counter[str] = Counter()
         self.named: Counter[str] = Counter()  # open elements that lower the weight, by name
-        self.silent = 0
+        self.silent = self.headings = 0
         self.regions = [0]
         self.parent, self.begin, self.end = [-1], [0], [0]  # of each region: parent, first line, line after the last
         self.kind = [""]
@@ -123,6 +124,7 @@ class _Lines(HTMLParser):
         self.stack.append((tag, min(above, weight)))
         self.open[tag] += 1
         self.silent += tag in SILENT
+        self.headings += tag in HEADINGS
         if weight < PLAIN:
             self.named[tag] += 1
         if tag in REGION:
@@ -136,6 +138,7 @@ class _Lines(HTMLParser):
         tag, weight = self.stack.pop()
         self.open[tag] -= 1
         self.silent -= tag in SILENT
+        self.headings -= tag in HEADINGS
         if self.named[tag] and weight < PLAIN:
             self.named[tag] -= 1
         if tag in REGION:
@@ -185,7 +188,7 @@ class _Lines(HTMLParser):
             return
         own, linked = self.parts.setdefault(weight, ([], []))
         own.append(data)
-        if self.open["a"]:
+        if self.open["a"] and not self.headings:
             linked.append(len(data.strip()))
 
     def close(self) -> None:
@@ -197,11 +200,17 @@ class _Lines(HTMLParser):
 
 
 def smoothed(lines: list[Line]) -> list[float]:
-    """The lines' ratios under a Gaussian over the lines of the same weight, times their weights."""
+    """The lines' ratios under a Gaussian over the lines of the same weight, times their weights.
+
+    A line of links alone, with ratio 0, isn't lifted by the text next to it: a menu ends where an article begins.
+    """
     ratio = [line.ratio() for line in lines]
     out = []
     for i, line in enumerate(lines):
         total = share = 0.0
+        if not ratio[i]:
+            out.append(0.0)
+            continue
         for j in range(max(0, i - RADIUS), min(len(lines), i + RADIUS + 1)):
             if lines[j].weight == line.weight:
                 k = _KERNEL[abs(i - j)]

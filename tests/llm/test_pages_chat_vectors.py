@@ -1,19 +1,20 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ann, chat
+from corpusloom.llm import ann, chat, html_text
 from corpusloom.llm.html_text import extract_pages, main_text
 
 PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header><h1>Site</h1><nav><a>a</a></nav></header>
 <div class="cookie-notice">We use cookies on this site please accept them all now.</div>
 <main><article><header><h1>Title &amp; more</h1></header><p>One <b>bold</b> <span class="ad">BUY</span> text&nbsp;here.<br>next
-line<p>Two<script>var a="<p>";</script> unclosed <ul><li>i1<li>i2</ul><div class="shareButtons">Share this</div>
+line of a paragraph that goes on for a while, as paragraphs of articles do<p>Two<script>var a="<p>";</script> unclosed, and this one too says more than a few words <ul><li>i1<li>i2</ul><div class="shareButtons">Share this</div>
 <table><tr><td>c1</td><td>c2</td></tr></table><form><p>Sign up</p></form></article>
 <section id="comments"><p>Great long article comment text, this is a very long reader comment which has lots of text.</p></section></main>
 <aside><p>side text</p></aside><footer>foot</footer></body></html>"""
@@ -22,7 +23,7 @@ line<p>Two<script>var a="<p>";</script> unclosed <ul><li>i1<li>i2</ul><div class
 @pytest.mark.parametrize(
     ("html", "want"),
     [
-        (PAGE, "Title & more\nOne bold text here. next line\nTwo unclosed\ni1\ni2\nc1\nc2"),
+        (PAGE, "Title & more\nOne bold text here. next line of a paragraph that goes on for a while, as paragraphs of articles do\nTwo unclosed, and this one too says more than a few words\ni1\ni2\nc1\nc2"),
         ("", ""),
         ("plain &lt;text&gt;", "plain <text>"),
         ("<p>hi", "hi"),
@@ -42,6 +43,53 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+SENTENCE = "This is a sentence of the article that says what it has to say in some words. "
+
+
+@pytest.mark.parametrize("name", ["comment-free article", "notice-board", "social-history", "share-prices", "menu-of-the-day", "banner-years"])
+def test_no_class_word_takes_article_text(name):
+    """A paragraph as dense as the others stays, whatever its class is called; a notice of a few words goes."""
+    inside = f'<article><h1>Head</h1><p>{SENTENCE * 3}</p><div class="{name}"><p>{SENTENCE * 3}</p></div><p>{SENTENCE * 2}</p><div class="notice">Buy now!</div></article>'
+    text = SENTENCE.strip()
+    assert main_text(inside) == "\n".join(["Head", " ".join([text] * 3), " ".join([text] * 3), " ".join([text] * 2)])
+
+
+def hand_marked():
+    """Pages with their blocks, each marked whether it is of the article."""
+    s = SENTENCE
+    links = lambda n: "".join(f'<li><a href="/{i}">Section {i} of the site</a></li>' for i in range(n))
+    yield f"<body><div id=top><ul>{links(8)}</ul></div><div id=x><h2>Head</h2><p>{s * 4}<p>{s}<p>Short.<p>{s * 2}</div><div><ul>{links(5)}</ul></div></body>", ["Head", s * 4, s, "Short.", s * 2]
+    yield f"<nav>{links(6)}</nav><main><h1>Head</h1><p>{s * 3}</p><ul>" + "".join(f"<li>Item number {i}</li>" for i in range(12)) + f"</ul><p>{s * 3}</p></main><aside><p>{s}</p></aside><footer>Some words of a footer</footer>", ["Head", s * 3, *(f"Item number {i}" for i in range(12)), s * 3]
+    yield f'<div class="header"><p>A motto</p></div><div><p>{s * 5}</p><div class="advert"><p>Offer of the week</p></div><p>{s * 5}</p></div><section id="comments"><p>{s}</p><p>{s}</p></section>', [s * 5, s * 5]
+    yield f"<article><h1>A</h1><p>{s * 2}</p></article><article><h1>B</h1><p>{s * 2}</p></article><form><p>Sign up here</p><input></form>", ["A", s * 2, "B", s * 2]
+    yield f"<table><tr><td><ul>{links(9)}</ul></td><td><p>{s * 6}</p><p>{s * 2}</p><table><tr><td>cell one</td><td>cell two</td></tr></table></td></tr></table><p><a href=/>Home</a> <a href=/>Imprint</a></p>", [s * 6, s * 2, "cell one", "cell two"]
+    yield f"<nav><main><p>{s * 2}</p></main></body>", [s * 2]
+
+
+def test_precision_and_recall_on_hand_marked_pages():
+    right = found = wanted = 0
+    for html, blocks in hand_marked():
+        got, want = main_text(html).split("\n"), [" ".join(b.split()) for b in blocks]
+        right += sum(g in want for g in got)
+        found, wanted = found + len(got), wanted + len(want)
+    assert right / found >= 0.97 and right / wanted >= 0.97
+
+
+def test_the_ratio_decides(monkeypatch):
+    """With a constant for the smoothed ratio the menus stay."""
+    pages = [html for html, _ in hand_marked()]
+    before = [main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "smoothed", lambda lines: [line.weight for line in lines])
+    assert sum(main_text(p) != b for p, b in zip(pages, before, strict=True)) >= 3
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<div><p>a b c</p>", "<div><a>t</section>", "<b><i>x</article>", "<nav><main>x"])
+def test_time_grows_with_the_page(part):
+    began = time.perf_counter()
+    main_text(part * 100_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_any_markup_is_parsed():
     r = random.Random(1)
     parts = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<b", ">", "&", "&amp;", "text", "<!--", "-->", "<script>", "</script>", "<![CDATA[", "]]>", "<nav>", "</main>", "<main>", "<td>", "<br/>"]
