@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text
 from corpusloom.plans.ledger import numbered
+from corpusloom.runtime import few
 
 # Ids that every vocabulary begins with.
 RESERVED = ["<pad>", "<unk>", "<s>", "</s>"]
@@ -46,8 +47,12 @@ def coverage(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, ids: words by their vocabulary ids, unknown ones as 1, in their order."""
-    found = tokens(docs).join(vocab.select("token", "id"), "token", "left")
+    """doc_id, ids: words by their vocabulary ids, unknown ones as 1, in their order.
+
+    A vocabulary of few rows is broadcast, so that tokens stay where their documents are; a larger one is
+    joined by a shuffle.
+    """
+    found = tokens(docs).join(few(vocab.select("token", "id")), "token", "left")
     ids = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("id", F.lit(UNK).cast("long")).alias("id")))).alias("x"))
     out = docs.select("doc_id").join(ids, "doc_id", "left")
     return out.select("doc_id", F.coalesce(F.transform("x", lambda s: s["id"]), F.array().cast("array<bigint>")).alias("ids"))

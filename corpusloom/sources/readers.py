@@ -255,23 +255,29 @@ def bitext_slices(rows: DataFrame, source: str, target: str, by: list[str] | Non
     return out.withColumn("n", F.row_number().over(Window.partitionBy(*groups).orderBy("place"))).filter(F.col("n") <= at_most_rows).drop("n")
 
 
-def paginate(fetch: Callable[[int, int], dict], limit: int, at_most: int | None = None) -> dict:
+def paginate(fetch: Callable[[int, int], dict], limit: int, at_most: int | None = None, sink: Callable[[list], None] | None = None) -> dict:
     """Records of a paginated service. Offsets advance by what was received; stops on an empty page, at
-    `at_most` or when all are there. Returns records, pages, total, stopped and shortfall."""
+    `at_most` or when all are there. Returns records, pages, received, total, stopped and shortfall.
+
+    With a `sink` each page goes there as it comes and none is held; `records` is then empty.
+    """
     records: list = []
-    pages, total, stopped = 0, None, "empty"
+    pages, received, total, stopped = 0, 0, None, "empty"
     while True:
-        page = fetch(len(records), limit)
+        page = fetch(received, limit)
         pages += 1
         total = page.get("total", total)
         got = page.get("records") or []
+        if at_most is not None:
+            got = got[: at_most - received]
         if not got:
             break
-        records += got
-        if at_most is not None and len(records) >= at_most:
-            records, stopped = records[:at_most], "at_most"
+        received += len(got)
+        (sink or records.extend)(got)
+        if at_most is not None and received >= at_most:
+            stopped = "at_most"
             break
-        if total is not None and len(records) >= total:
+        if total is not None and received >= total:
             stopped = "complete"
             break
-    return {"records": records, "pages": pages, "total": total, "stopped": stopped, "shortfall": max(0, (total or 0) - len(records))}
+    return {"records": records, "pages": pages, "received": received, "total": total, "stopped": stopped, "shortfall": max(0, (total or 0) - received)}
