@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.runtime import bound_arrow_batches, durable, durable_round
+from corpusloom.runtime import FEW_ROWS, bound_arrow_batches, durable, durable_round
 
 BITS, MAX_DISTANCE, SHINGLE = 64, 3, 3
 SEED = 42
@@ -103,30 +103,49 @@ def links(fps: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _contracted(edges: DataFrame, small: bool) -> DataFrame:
+    """One round on links u > v: the same components, with links to smaller nodes. `small`: there are few of
+    them, and what is looked up by node is broadcast."""
+    hint = F.broadcast if small else lambda df: df
+    # large star: the greater neighbours of each node go to its smallest neighbour
+    both = edges.union(edges.select("v", "u"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    large = both.join(hint(least), F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    # small star: the smaller neighbours of each node, and itself, go to the smallest
+    least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
+    joined = large.join(hint(least), F.col("u") == F.col("n"))
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("n", "m")).distinct()
+
+
+def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return durable_round(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of `pairs`, roots left out.
 
     Every round replaces links by links to the smallest neighbour; both kinds of stars keep the
     components, and when a round changes nothing every node is linked to its root alone.
     """
-    edges = durable_round(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct())
-    before = None
+    edges = _edges(pairs, a, b)
+    before, small = None, edges.count() <= FEW_ROWS
     while True:
-        # large star: the greater neighbours of each node go to its smallest neighbour
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("n")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        # small star: the smaller neighbours of each node, and itself, go to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        joined = large.join(least, F.col("u") == F.col("n"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("n", "m")).distinct()
-        edges = durable_round(small)
+        edges = durable_round(_contracted(edges, small))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
 
 
+def partly_joined(pairs: DataFrame, rounds: int, a: str = "a", b: str = "b") -> DataFrame:
+    """Links a > b with the components of `pairs` after so many rounds, in which most nodes have their root."""
+    edges = _edges(pairs, a, b)
+    small = edges.count() <= FEW_ROWS
+    for _ in range(rounds):
+        edges = durable_round(_contracted(edges, small))
+    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -144,15 +163,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of_fp = grouped.select(F.col("fp").alias("f"), "root").join(smallest, "root").select("f", "component_id")
     hex_ = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", hex_.alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their component.
-
-    Of repeated rows with one id, one stays. A row without an id is in no group and stays.
-    """
-    ids = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, shingle=shingle)
-    gone = ids.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
