@@ -24,6 +24,8 @@ from corpusloom.runtime import bound_arrow_batches, durable
 
 #: Vectors of a shard on average, and queries that search a shard together.
 SHARD_ROWS, QUERY_ROWS = 4096, 512
+#: Tasks that index or search at most; more shards share them.
+MAX_TASKS = 20_000
 #: Edges of a node; widths of the beam that proposes them and of the one that searches; slack of the pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 40, 80, 192, 1.2
 #: Nodes that a beam expands at once, and nodes that are inserted at once.
@@ -209,7 +211,9 @@ def search(
     if not shards:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     per_dim = F.element_at(F.create_map(*(F.lit(x) for pair in shards.items() for x in pair)), F.col("dim"))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), per_dim).cast("int"))
+    # a shard is few bytes and much work: each gets a task of its own, up to MAX_TASKS of them
+    tasks = min(MAX_TASKS, sum(shards.values()))
+    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), per_dim).cast("int")).repartition(tasks, "dim", "shard")
     index = durable(_index(nodes, "dim int, shard int, start int, vectors binary, graph binary, sizes binary, ids binary"))
 
     asked = durable(rows.filter("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
@@ -224,7 +228,7 @@ def search(
 
     packed = asked.groupBy("dim", "block").applyInArrow(pack, "dim int, ids binary, vectors binary")
     packed = packed.select(F.col("dim").alias("d"), F.explode(F.sequence(F.lit(0), (per_dim - 1).cast("int"))).alias("s"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    work = index.join(packed, (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s"))).select("dim", "start", "vectors", "graph", "sizes", "ids", "query_ids", "queries")
+    work = index.repartition(tasks, "dim", "shard").join(packed.repartition(tasks, "d", "s"), (F.col("dim") == F.col("d")) & (F.col("shard") == F.col("s"))).select("dim", "start", "vectors", "graph", "sizes", "ids", "query_ids", "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,6 +39,9 @@ def byte_letters() -> dict[str, int]:
     rest = [b for b in range(256) if b not in PRINTABLE]
     return {chr(b): b for b in PRINTABLE} | {chr(256 + i): b for i, b in enumerate(rest)}
 
+#: Characters of a piece that is remembered at most: with their number, this bounds the memory.
+LONGEST = 64
+
 
 class PrefixBpe:
     """Encoder and decoder of one vocabulary file (a tokenizers JSON with a byte-level BPE model)."""
@@ -136,14 +139,15 @@ class PrefixBpe:
                 out.append(np.array([self.special[part]], dtype="<u4").tobytes())
                 continue
             pieces = PIECE.findall(part)
-            for _ in range(2):
-                try:
-                    out.append(b"".join(map(known.__getitem__, pieces)))
-                    break
-                except KeyError:
-                    for p in pieces:
-                        if p not in known:
-                            known[p] = self._piece_ids(p)
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces)))
+            except KeyError:
+                for p in pieces:
+                    if (ids := known.get(p)) is None:
+                        ids = self._piece_ids(p)
+                        if len(p) <= LONGEST:
+                            known[p] = ids
+                    out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

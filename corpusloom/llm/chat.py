@@ -133,12 +133,15 @@ def format_paths(turns: DataFrame, conv_id, loss_role: str = "assistant") -> Dat
     schema = "conv_id long, formatted string, spans array<struct<start: long, length: long>>, n_turns long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                formatted, spans = format_turns([(t["role"], t["text"]) for t in batch.column(1)[i].as_py()], loss_role)
-                spans = [{"start": s, "length": n} for s, n in spans]
-                columns = [[batch.column(0)[i].as_py()], [formatted], [spans], [len(batch.column(1)[i])]]
-                types = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.int64()]
+        for batch in batches:  # of bounded bytes, but for one long conversation
+            ids, columns = batch.column(0).to_pylist(), ([], [], [], [])
+            for i, conv_id in enumerate(ids):
+                turns = batch.column(1)[i].as_py()
+                formatted, spans = format_turns([(t["role"], t["text"]) for t in turns], loss_role)
+                for column, value in zip(columns, (conv_id, formatted, [{"start": s, "length": n} for s, n in spans], len(turns)), strict=True):
+                    column.append(value)
+            if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], ["conv_id", "formatted", "spans", "n_turns"])
 
     return one.select("conv_id", "turns").mapInArrow(run, schema)

@@ -20,6 +20,9 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 # Fixed value: the tokenizer file's pattern of words.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Characters of a chunk that is remembered at most: with their number, this bounds the memory.
+LONGEST = 64
+
 
 class ChunkTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes.
@@ -46,7 +49,9 @@ class ChunkTokenizer:
 
     def _learn_word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
-        ids = self.known[word] = array.array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        ids = array.array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+        if len(word) <= LONGEST:
+            self.known[word] = ids
         return ids
 
     def _words(self, chunk: str) -> list[str]:
@@ -64,6 +69,8 @@ class ChunkTokenizer:
             ids = array.array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
         else:
             ids = b"".join([known[w] if w in known else self._learn_word(w) for w in self._words(chunk)])
+        if len(chunk) > LONGEST:
+            return ids
         known[chunk] = ids
         if len(self.hot) < self.most_hot:
             self.hot[chunk] = ids

@@ -56,7 +56,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    """Of a document of several lines the first is the prompt: as many tokens as it has words bear no loss."""
+    first = F.size(F.split(F.substring_index("text", "\n", 1), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.instr("text", "\n") > 0, first).otherwise(0).alias("prompt_tokens"))
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), prompt_col="prompt_tokens")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
