@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.encoders import hash_encoder
-from corpusloom.operators import corpus
+from corpusloom.operators import corpus, pairs
 from corpusloom.plans import config, pipelines
+from corpusloom.plans.ledger import accepted, ledger
 from corpusloom.runtime import bound_arrow_batches
 from corpusloom.sources import readers, writers
 
@@ -54,9 +55,9 @@ def extract(spark: SparkSession, settings: config.Settings, args: argparse.Names
 
 def mine_pairs(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
     docs = corpus.deduplicate(pipelines.read_corpus(spark, settings.corpus))
-    found, ledger, statistics = pipelines.mine_pairs(docs, settings.pairs)
+    found, counts, statistics = pipelines.mine_pairs(docs, settings.pairs)
     print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found), args.output, gzip=True)}))
-    _say("ledger", ledger)
+    _say("ledger", counts)
     _say("kinds", statistics)
     return 0
 
@@ -70,32 +71,59 @@ def extract_judgments(spark: SparkSession, settings: config.Settings, args: argp
     return 0
 
 
+def _write_judged(judged: DataFrame, args: argparse.Namespace) -> int:
+    found = accepted(judged).drop("kind_rank", "position").withColumn("document", F.col("doc_id").cast("string")).drop("doc_id")
+    print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found), args.output, gzip=True)}))
+    _say("ledger", ledger(judged))
+    return 0
+
+
+def mine_questions(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Question and answer pairs of a call-centre table."""
+    rows = pipelines.with_ids(readers.read_questions(spark, settings.corpus.source), "question", "answer", "created_on").withColumnRenamed("id", "doc_id")
+    return _write_judged(pairs.question_answers(rows.select("doc_id", F.lit(0).cast("long").alias("position"), "question", "answer")), args)
+
+
+def mine_notices(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Subject and body pairs of a table of notifications."""
+    rows = pipelines.with_ids(readers.read_notices(spark, settings.corpus.source), "number", "subject", "body").withColumnRenamed("id", "doc_id")
+    return _write_judged(pairs.notices(rows.select("doc_id", "subject", "body")), args)
+
+
+def extract_acts(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
+    """Acts in JSON as documents with sections."""
+    found = readers.acts(spark.read.option("recursiveFileLookup", True).text(settings.corpus.source, wholetext=True))
+    body = F.array_join(F.transform("sections", lambda s: s["text"]), "\n\n")
+    print(json.dumps({"written": writers.write_jsonl(found.withColumn("text", body).withColumn("language", F.lit(settings.corpus.language)), args.output, gzip=True)}))
+    return 0
+
+
 def mine_aligned(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
     """Pairs of two corpora, --target the other, whose pages --links (an SQL dump) connects."""
     target = pipelines.read_corpus(spark, dataclasses.replace(settings.corpus, source=args.target, language=args.target_language))
     links = readers.read_langlinks(spark, args.links, args.target_language)
-    found, documents, ledger = pipelines.mine_aligned(pipelines.read_corpus(spark, settings.corpus), links, target)
+    found, documents, counts = pipelines.mine_aligned(pipelines.read_corpus(spark, settings.corpus), links, target)
     print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found.withColumnRenamed("doc_id", "document")), args.output, gzip=True)}))
     _say("documents", documents)
-    _say("ledger", ledger)
+    _say("ledger", counts)
     return 0
 
 
 def ingest_parallel(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
     """Pairs of two line-aligned files, the corpus's source and --target."""
     side = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n", -1)).alias("n", "line")).select(F.col("n").cast("long").alias("n"), "line")
-    found, ledger = pipelines.ingest_parallel(side(settings.corpus.source), side(args.target), settings.corpus.language or "", args.target_language)
+    found, counts = pipelines.ingest_parallel(side(settings.corpus.source), side(args.target), settings.corpus.language or "", args.target_language)
     print(json.dumps({"written": writers.write_jsonl(writers.pair_records(found.withColumn("document", F.col("doc_id").cast("string"))), args.output, gzip=True)}))
-    _say("ledger", ledger)
+    _say("ledger", counts)
     return 0
 
 
 def prepare_eval(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
     """The held-out pairs, and the rest without what shares a document or a text with them."""
-    train, held_out, ledger = pipelines.select_pairs(writers.pairs_from_records(spark.read.json(settings.corpus.source)), None, settings.selection)
+    train, held_out, counts = pipelines.select_pairs(writers.pairs_from_records(spark.read.json(settings.corpus.source)), None, settings.selection)
     written = {name: writers.write_jsonl(writers.pair_records(rows), f"{args.output}/{name}", gzip=True) for name, rows in (("train", train), ("eval", held_out))}
     print(json.dumps({"written": written}))
-    _say("ledger", ledger)
+    _say("ledger", counts)
     return 0
 
 
@@ -118,8 +146,8 @@ def train(spark: SparkSession, settings: config.Settings, args: argparse.Namespa
 
 
 def mine_negatives(spark: SparkSession, settings: config.Settings, args: argparse.Namespace) -> int:
-    pairs = writers.pairs_from_records(spark.read.json(settings.corpus.source))
-    out, statistics = pipelines.mine_negatives(pairs, hash_encoder(), settings.negatives)
+    rows = writers.pairs_from_records(spark.read.json(settings.corpus.source))
+    out, statistics = pipelines.mine_negatives(rows, hash_encoder(), settings.negatives)
     print(json.dumps({"written": writers.write_jsonl(writers.pair_records(out), args.output, gzip=True)}))
     _say("negatives", statistics)
     return 0
@@ -141,7 +169,7 @@ def evaluate(spark: SparkSession, settings: config.Settings, args: argparse.Name
     return 0
 
 
-COMMANDS = {"extract-judgments": extract_judgments, "mine-aligned": mine_aligned, "ingest-parallel": ingest_parallel, "prepare-eval": prepare_eval, "finetune": adapt, "adapt": adapt, "train": train, "stats": stats, "validate": validate, "extract": extract, "mine-pairs": mine_pairs, "mine-negatives": mine_negatives, "search": search, "evaluate": evaluate}
+COMMANDS = {"mine-questions": mine_questions, "mine-notices": mine_notices, "extract-acts": extract_acts, "extract-judgments": extract_judgments, "mine-aligned": mine_aligned, "ingest-parallel": ingest_parallel, "prepare-eval": prepare_eval, "finetune": adapt, "adapt": adapt, "train": train, "stats": stats, "validate": validate, "extract": extract, "mine-pairs": mine_pairs, "mine-negatives": mine_negatives, "search": search, "evaluate": evaluate}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

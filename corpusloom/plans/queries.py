@@ -497,7 +497,15 @@ def oversample_language(spark, sf):
     return select.oversample(docs_of(spark, sf).select("doc_id", "lang"), "lang", {"fr": 3, "es": 2}).groupBy("lang").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("ids"))
 
 
-@query()
+S_LANGS = ("de", "en", "es", "fr")
+S_LACKING = " OR ".join(f"(o.{x} > 0 AND w.{x} < 20)" for x in S_LANGS)
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT source || ':' || (doc_id % 10) AS cluster, lang FROM documents), c AS (SELECT cluster, {", ".join(f"count(*) FILTER (WHERE lang = '{x}') AS {x}" for x in S_LANGS)} FROM d GROUP BY cluster),
+o AS (SELECT *, row_number() OVER (ORDER BY {S_HASH("cluster", 1)}, cluster) AS r FROM c),
+w AS (SELECT 0::BIGINT AS r, '' AS cluster, false AS taken, {", ".join(f"0::BIGINT AS {x}" for x in S_LANGS)} UNION ALL
+SELECT o.r, o.cluster, {S_LACKING}, {", ".join(f"w.{x} + CASE WHEN {S_LACKING} THEN o.{x} ELSE 0 END" for x in S_LANGS)} FROM w JOIN o ON o.r = w.r + 1)
+SELECT CASE WHEN taken THEN 'eval' ELSE 'train' END AS part, lang, count(*)::BIGINT AS n FROM d JOIN w USING (cluster) GROUP BY ALL""")
 def stratified_cluster_holdout(spark, sf):
     docs = docs_of(spark, sf).select("doc_id", "lang", F.concat_ws(":", "source", (F.col("doc_id") % 10).cast("string")).alias("cluster"))
     return select.stratified_clusters(docs, "cluster", "lang", 20, 1).groupBy("part", "lang").agg(F.count("*").alias("n"))

@@ -127,3 +127,18 @@ def test_two_sided_commands(spark, tmp_path, capsys):
     (tmp_path / "scans/one.bin").write_bytes(b"a page of a judgment " * 20)
     code, out = say("extract-judgments", "--set", f"corpus.source={tmp_path / 'scans'}", "--output", str(tmp_path / "judgments"))
     assert code == 0 and '"written": 1' in out
+
+
+def test_tables_and_acts(spark, tmp_path, capsys):
+    say = lambda *a: (cli.main([*a], spark), capsys.readouterr().out)
+    (tmp_path / "q.csv").write_text("QueryText,KccAns,CreatedOn\nHow is rice grown here in summer?,It grows in water in fields of the south.,1\nok,yes,2\n")
+    code, out = say("mine-questions", "--set", f"corpus.source={tmp_path / 'q.csv'}", "--output", str(tmp_path / "q"))
+    assert code == 0 and '"written": 1' in out and '"junk_query"' in out
+    (tmp_path / "n.csv").write_text("NotificationNumber,Subject,Body\n1,Duty on steel from abroad,A duty of ten per cent applies to certain goods of that kind.\n2,Withdrawn duty,It is withdrawn\n")
+    code, out = say("mine-notices", "--set", f"corpus.source={tmp_path / 'n.csv'}", "--output", str(tmp_path / "n"))
+    assert code == 0 and '"written": 1' in out and '"withdrawn"' in out
+    act = {"Act Title": "An Act", "Act ID": "7", "Enactment Date": "2000", "Chapters": {"1": {"Sections": {"1": {"heading": "H", "paragraphs": {"0": "First.", "1": "Second."}}}}}}
+    (tmp_path / "act.json").write_text(json.dumps(act))
+    code, out = say("extract-acts", "--set", f"corpus.source={tmp_path / 'act.json'}", "--output", str(tmp_path / "acts"))
+    assert code == 0 and '"written": 1' in out
+    assert spark.read.json(str(tmp_path / "acts")).first()["text"] == "First.\nSecond."
