@@ -82,7 +82,7 @@ def _cells(half: F.Column) -> tuple[F.Column, F.Column]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs a < b of different fingerprints at MAX_DISTANCE or less, from distinct `fp`."""
+    """Pairs a < b of different fingerprints at MAX_DISTANCE or less, from distinct `fp` without nulls; of none, no pairs."""
     sides = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     half = F.when(F.col("side") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     cell, parity = _cells(F.col("half"))
@@ -124,6 +124,8 @@ def _edges(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for all nodes of `pairs`, roots left out.
 
+    Repeated and reversed pairs and pairs of one node with itself change nothing; neither side may be null;
+    of no pairs, no rows.
     Every round replaces links by links to the smallest neighbour; both kinds of stars keep the
     components, and when a round changes nothing every node is linked to its root alone.
     """
