@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,38 @@ def test_contained_passages(spark):
     d = docs(spark, [(1, "x A quick Brown fox jumps over the lazy dog today y"), (2, "nothing here"), (3, "quick")])
     b = spark.createDataFrame([(1, "a quick brown fox jumps over the lazy dog"), (2, "quick"), (3, "")], "item_id long, text string")
     assert sorted(tuple(r) for r in joins.contained_passages(d, b).collect()) == [(1, 1), (1, 2), (3, 2)]
+
+
+def test_blocked_answers_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    v, groups = r.normal(size=(40, 5)).round(3), r.integers(0, 4, 40)
+    frame = spark.createDataFrame([(i, int(groups[i]), v[i].tolist()) for i in range(40)], "id long, grp long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(u @ u.T, vectors.PLACES)
+    own = np.array([sim[i, (i + 1) % 40] for i in range(40)])
+    queries = frame.join(spark.createDataFrame([(i, float(own[i])) for i in range(40)], "id long, own double"), "id")
+    rank = lambda **how: {x["query_id"]: x["rank"] for x in vectors.pessimistic_ranks(queries, frame, **how).collect()}
+    assert rank() == {i: int((sim[i] >= own[i]).sum()) - 1 for i in range(40)}
+    assert rank(mask_same_text=True) == {i: int((np.delete(sim[i], i) >= own[i]).sum()) - 1 for i in range(40)}
+    assert rank(same_group=True) == {i: int((sim[i][groups == groups[i]] >= own[i]).sum()) - 1 for i in range(40)}
+    best = {(x["query_id"], x["grp"]): x["id"] for x in vectors.best_per_group(frame, frame).collect()}
+    assert best == {(i, g): int(np.flatnonzero(groups == g)[sim[i][groups == g].argmax()]) for i in range(40) for g in set(groups.tolist())}
+    other = {(x["query_id"], x["rank"]): x["id"] for x in vectors.top_k(frame, frame, 3, other_group=True).collect()}
+    for i in range(40):
+        far = [j for j in sorted(range(40), key=lambda j: (-sim[i, j], j)) if groups[j] != groups[i]][:3]
+        assert [other[i, k] for k in (1, 2, 3)] == far
+    values = np.linalg.svd(v - v.mean(axis=0), compute_uv=False)
+    got = vectors.spectrum(frame)
+    assert got["isotropy"] == pytest.approx(values[-1] / values[0]) and got["effective_dimensions"] == 1 + int(np.searchsorted(np.cumsum(values**2) / (values**2).sum(), 0.95))
+
+
+def test_mean_pool_against_brute_force(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(9, 4))
+    known = spark.createDataFrame([(f"t{i}", v[i].tolist()) for i in range(8)], "token string, v array<double>")
+    texts = {d: r.integers(0, 9, r.integers(1, 30)).tolist() for d in range(25)} | {99: [8, 8]}  # t8 isn't known
+    tokens = spark.createDataFrame([(d, f"t{t}") for d, ts in texts.items() for t in ts], "doc_id long, token string").repartition(5)
+    got = {x["doc_id"]: x["v"] for x in vectors.mean_pool(tokens, known).collect()}
+    want = {d: np.mean([v[t] for t in ts if t < 8], axis=0) for d, ts in texts.items() if any(t < 8 for t in ts)}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d].tolist()) for d in got)
