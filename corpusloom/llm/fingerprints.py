@@ -1,14 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-Each run of K code points has a polynomial hash. It is rolled by doubling: the hash of 2 m code points
-comes from those of the m first and the m next, so that a code point is hashed once, whatever K. Of every
-W runs in a row the smallest hash is selected, the rightmost of equal ones, and keeps its position.
-Texts that share SPAN = K + W - 1 code points share a selected hash, in any script and wherever the
-words begin; a text of fewer has one window.
-
-A hash and its position are one long, the hash in the upper bits and the position counted down
-below it, so that the smallest long is the smallest hash with the rightmost position, and a window's
-minimum takes log2(W) element-wise minima of shifted arrays.
+Each code point has a hash of 64 bits, and a run of K of them the polynomial over these with exclusive-or
+for the sum and a shift for the power. It is rolled by doubling: the hash of 2 m code points comes from
+those of the m first and the m next, so that a code point is hashed once, whatever K. Of every W runs in a
+row the smallest hash is selected, the rightmost of equal ones, and keeps its position. Texts that share
+SPAN = K + W - 1 code points share a selected hash, in any script and wherever the words begin; a text of
+fewer has one window.
+
+A hash and its position are one long, 32 bits of the hash above and the position counted down below, so
+that the smallest long is the smallest hash with the rightmost position, and a window's minimum takes
+log2(W) element-wise minima of shifted arrays.
+
+What a window selects depends on the window alone, and positions never go back from one window to the
+next. The fingerprint of an edited text is therefore put together from those of its two sources and from
+the windows across the edit, which alone are hashed again.
 """
 
 from __future__ import annotations
@@ -28,10 +33,9 @@ SPAN = K + W - 1
 RANGE_CHARS = 8_000_000
 MAX_RANGES = 100_000
 
-#: The polynomial's prime modulus and base.
-_PRIME, _BASE = (1 << 31) - 1, 1_103_515_245
 _POSITION_BITS = 31
 _LAST_POSITION = (1 << _POSITION_BITS) - 1
+_HASH_BITS = (1 << 63) - (1 << _POSITION_BITS)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,15 +50,14 @@ def _shifted(v: Column, step: int) -> Column:
 def selected(text: Column) -> Column:
     """array<long>: the selected hashes with their positions, in their order; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    points = F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(F.lit(_LAST_POSITION)) % F.lit(_PRIME))
+    points = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
     points = F.concat(points, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(K) - F.length(text), F.lit(0))))
 
     def runs(v: Column, m: int = 1) -> Column:
-        if m == K:
-            place = lambda h, i: F.shiftleft(h, _POSITION_BITS).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long"))
-            return F.transform(F.slice(v, F.lit(1), F.size(v) - (K - 1)), place)
-        power = F.lit(pow(_BASE, m, _PRIME)).cast("long")
-        return _let(F.zip_with(v, _shifted(v, m), lambda a, b: (a * power + b) % F.lit(_PRIME)), lambda h: runs(h, 2 * m))
+        if 2 * m == K:
+            both = lambda a, i: F.shiftleft(a, m).bitwiseXOR(F.get(v, i + m))
+            return F.transform(F.slice(v, F.lit(1), F.size(v) - (K - 1)), lambda a, i: both(a, i).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long")))
+        return _let(F.zip_with(v, _shifted(v, m), lambda a, b: F.shiftleft(a, m).bitwiseXOR(b)), lambda h: runs(h, 2 * m))
 
     def minima(v: Column, step: int = 1) -> Column:
         if step == W:
@@ -67,16 +70,35 @@ def selected(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(points, lambda v: _let(runs(v), windows)))
 
 
-def selected_after(chosen: Column, kept: Column, text: Column) -> Column:
-    """`selected` of a text of which the first `kept` code points are those of another, with `chosen`.
+def _down(x: Column) -> Column:
+    """The position, counted down."""
+    return x.bitwiseAND(F.lit(_LAST_POSITION))
 
-    Windows within what is kept select what they did; they are those before the last such window's
-    choice. The others begin with that window.
+
+def selected_edited(chosen: Column, kept: Column, next_chosen: Column, taken: Column, edited: Column) -> Column:
+    """`selected` of an edited text: `kept` code points of a text with `chosen`, then `taken` first ones of one with `next_chosen`.
+
+    From the last window within what is kept to the first within what is taken, windows are looked at anew.
+    Before and after, those entries of the two are taken over that stand before and after their choices; the
+    last window of what is taken says where the second one's entries end.
     """
-    start = F.greatest(kept - SPAN, F.lit(0))
-    rest = F.transform(selected(F.substring(text, start + 1, F.length(text))), lambda x: x - start)
-    place = lambda x: x.bitwiseAND(F.lit(_LAST_POSITION))
-    return _let(rest, lambda r: F.when(start > 0, F.concat(F.filter(chosen, lambda x: place(x) > place(r[0])), r)).otherwise(r))
+    def put(kept: Column, taken: Column, start: Column) -> Column:
+        inside = taken >= SPAN
+        across = selected(F.substring(edited, start + 1, F.when(inside, kept + SPAN - start).otherwise(F.length(edited))))
+        end = selected(F.when(inside, F.substring(edited, kept + taken - SPAN + 1, F.lit(SPAN))).otherwise(F.lit("")))
+        none = F.array().cast("array<long>")
+
+        def joined(mid: Column, end: Column) -> Column:
+            first, last = _down(mid[0]), _down(F.element_at(mid, -1)) + kept
+            least = _down(end[0]) - (taken - SPAN)
+            before = F.when(start > 0, _let(first, lambda f: F.filter(chosen, lambda x: _down(x) > f))).otherwise(none)
+            after = F.when(inside, _let(F.struct(last.alias("l"), least.alias("e")), lambda b: F.transform(F.filter(next_chosen, lambda x: (_down(x) < b["l"]) & (_down(x) >= b["e"])), lambda x: x - kept))).otherwise(none)
+            return F.concat(before, mid, after)
+
+        return _let(across, lambda raw: _let(F.transform(raw, lambda x: x - start), lambda mid: _let(end, lambda e: F.when(F.size(mid) == 0, mid).otherwise(joined(mid, e)))))
+
+    # lengths are counted once and not for each element
+    return _let(F.struct(kept.cast("int").alias("k"), taken.cast("int").alias("t")), lambda n: put(n["k"], n["t"], F.greatest(n["k"] - SPAN, F.lit(0))))
 
 
 def hashes(chosen: Column) -> Column:
@@ -151,7 +173,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     both = with_next(docs).withColumn("edited", edited)
-    both = both.withColumn("edited_chosen", selected_after(F.col("chosen"), F.length("text") - half, F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    both = both.withColumn("edited_chosen", selected_edited(F.col("chosen"), F.length("text") - half, F.col("next_chosen"), F.least(half, F.length("next_text")), F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     own = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_sha256", "chosen", "edited_chosen", hashes(F.col("chosen")).alias("h"), hashes(F.col("edited_chosen")).alias("e"), hashes(F.col("next_chosen")).alias("x"))
     return own.select(
         "doc_id",

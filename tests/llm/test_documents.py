@@ -268,16 +268,16 @@ def test_near_duplicates(spark):
 
 def brute_selected(point_hash, text):
     """The selected hashes with their positions, by definition: each run on its own, each window on its own."""
-    digits = [point_hash[c] % fingerprints._PRIME for c in text]
+    digits = [point_hash[c] for c in text]
     if not digits:
         return ""
     digits += [0] * (fingerprints.K - len(digits))
     runs = []
     for i in range(len(digits) - fingerprints.K + 1):
         h = 0
-        for d in digits[i : i + fingerprints.K]:
-            h = (h * fingerprints._BASE + d) % fingerprints._PRIME
-        runs.append(h)
+        for j, d in enumerate(digits[i : i + fingerprints.K]):
+            h ^= d << (fingerprints.K - 1 - j)
+        runs.append(h >> 31 & 0xFFFFFFFF)
     out = []
     for i in range(max(1, len(runs) - fingerprints.W + 1)):
         window = runs[i : i + fingerprints.W]
@@ -327,7 +327,7 @@ def test_selection_against_brute_force(spark):
     texts = [words(r, n, 50)[:m] for n, m in ((0, 0), (1, 1), (9, 7), (9, 8), (9, 9), (20, 38), (20, 39), (20, 40), (90, 500))]
     texts += ["é😀 ü\n" * 30, "q" * 100, "".join(chr(0x4E00 + r.randint(0, 3000)) for _ in range(200))]
     points = sorted({c for t in texts for c in t})
-    hashed = {x.c: x.h & 0x7FFFFFFF for x in spark.createDataFrame([(c,) for c in points], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
+    hashed = {x.c: x.h % (1 << 64) for x in spark.createDataFrame([(c,) for c in points], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.as_string(fingerprints.selected(F.col("t"))).alias("s")).collect()
     assert len(got) == len(texts)
     for x in got:
@@ -336,11 +336,13 @@ def test_selection_against_brute_force(spark):
 
 def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
     r = random.Random(9)
-    texts = [words(r, r.randint(0, 60), 50) for _ in range(40)] + ["", "x", "日本" * 70]
-    rows = [(i, t, o, k) for i, (t, o) in enumerate(zip(texts, texts[::-1], strict=True)) for k in {0, len(t) // 2, len(t)}]
-    docs = spark.createDataFrame([(t, t[:k] + o, k) for _, t, o, k in rows], "t string, e string, k int")
-    both = docs.select(fingerprints.selected(F.col("e")).alias("a"), fingerprints.selected_after(fingerprints.selected(F.col("t")), F.col("k"), F.col("e")).alias("b")).collect()
-    assert all(x.a == x.b for x in both)
+    texts = [words(r, r.randint(0, 60), 50) for _ in range(40)] + ["", "x", "日本" * 70, "q" * 200, words(r, 400)]
+    rows = [(t, o, k, n) for t, o in zip(texts, r.sample(texts, len(texts)), strict=True) for k in {0, min(1, len(t)), len(t) // 2, len(t)} for n in {0, min(38, len(o)), min(39, len(o)), min(40, len(o)), len(o) // 2, len(o)}]
+    docs = spark.createDataFrame([(t, o, t[:k] + o[:n], k, n) for t, o, k, n in rows], "t string, o string, e string, k int, n int")
+    chosen = lambda c: fingerprints.selected(F.col(c))
+    made = fingerprints.selected_edited(chosen("t"), F.col("k"), chosen("o"), F.col("n"), F.col("e"))
+    both = docs.select("k", "n", chosen("e").alias("a"), made.alias("b")).collect()
+    assert len(both) > 500 and all(x.a == x.b for x in both)
 
 
 def test_shared_runs_share_a_hash_in_any_script(spark):
