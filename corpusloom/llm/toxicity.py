@@ -29,8 +29,8 @@ SAMPLE_PER_LABEL = 8_000
 #: A term counts from this share of the sample's rows on, and from so many rows.
 MIN_SHARE, MIN_ROWS = 0.002, 4
 FACTORS, BATCH, RATE, PAIR_RATE = 8, 128, 0.2, 0.06
-#: Rounds with and without shrinking; how much linear weights and factors shrink; the least linear weight that is kept.
-ROUNDS, LAST_ROUNDS, SHRINK, SHRINK_PAIRS, LEAST = 20, 5, 3e-4, 5e-3, 0.2
+#: Rounds with and without shrinking, and before the first terms are left out; how much linear weights and factors shrink; the least linear weight that is kept.
+ROUNDS, LAST_ROUNDS, SETTLED, SHRINK, SHRINK_PAIRS, LEAST = 20, 5, 6, 3e-4, 5e-3, 0.2
 #: Lengths of the beginnings that count as terms beside whole words.
 STEMS = (5, 7)
 #: Spread of the factors at the start.
@@ -138,18 +138,22 @@ def train(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Mach
     if not n0 or not n1:
         return Machine()
     begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    terms, column = np.unique(np.concatenate(rows), return_inverse=True) if begin[-1] else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+    column = np.concatenate([np.zeros(0, "<u4"), *rows])
+    terms = np.unique(column)
+    column = np.searchsorted(terms, column).astype(np.int32)
 
     random = np.random.default_rng(7)
     w, v, w0 = np.zeros(len(terms)), random.normal(0, SPREAD, (len(terms), FACTORS)), math.log(n1 / n0)
     gw, gv, g0 = np.full(len(terms), 1e-6), np.full((len(terms), 1), 1e-6), 1e-2
     shrink, shrink_pairs = SHRINK, SHRINK_PAIRS
     for turn in range(ROUNDS + LAST_ROUNDS):
-        if turn == ROUNDS:
-            left = (np.abs(w) >= LEAST) | (v != 0).any(axis=1)
+        if turn >= SETTLED:  # terms whose weights are zero by now are left out, in the end those with little too
+            w = np.where(np.abs(w) >= (LEAST if turn == ROUNDS else 0.0), w, 0.0)
+            left = (w != 0) | (v != 0).any(axis=1)
             place = np.cumsum(left) - 1
             begin, column = np.concatenate([[0], np.cumsum(left[column])])[begin], place[column[left[column]]]
-            terms, w, v, gw, gv = terms[left], np.where(np.abs(w) >= LEAST, w, 0.0)[left], v[left], gw[left], gv[left]
+            terms, w, v, gw, gv = terms[left], w[left], v[left], gw[left], gv[left]
+        if turn == ROUNDS:
             shrink = shrink_pairs = 0.0
             linear, paired = w != 0, (v != 0).any(axis=1, keepdims=True)
         order = random.permutation(len(rows))
