@@ -232,7 +232,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     named = _named(texts)
     grouped = durable(_grouped(named, texts))
     own = named.join(grouped.withColumnRenamed("node", "m"), F.col("node") == F.col("m"))
-    smallest = own.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id"))
+    smallest = durable(own.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")))  # a side of its own, so that a large component is split
     return own.join(smallest, F.col("root") == F.col("r")).select("doc_id", "component_id")
 
 
@@ -253,7 +253,7 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = _named(named.select("key", "doc_id", "text"))
     grouped = durable(_grouped(rows, texts))
     own = rows.join(grouped.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).select("key", "doc_id", "root")
-    chosen = own.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc_id", "key")).alias("stays"))
+    chosen = durable(own.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc_id", "key")).alias("stays")))
     gone = own.join(chosen, F.col("root") == F.col("r")).filter("key != stays.key").select(F.col("key").alias("k")).distinct()
     kept = named.join(gone, F.col("key") == F.col("k"), "left_anti").dropDuplicates(["key"])
     return kept.select(*names).unionByName(keyed.filter("doc_id is null").select(*names)).toDF(*docs.columns)

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -192,10 +191,10 @@ def train(rows: list[np.ndarray], y: np.ndarray, counts: dict[int, int]) -> Mach
 def scorer(machine: Machine):
     """Column function: score of a text column, 0 to 1; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            yield pd.Series([machine.score(t or "") for t in texts], dtype="float64")
+            yield pa.array([machine.score(t or "") for t in texts.to_pylist()], pa.float64())
 
     return score
 
