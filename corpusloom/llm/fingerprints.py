@@ -51,12 +51,12 @@ def selected(text: Column) -> Column:
     """array<long>: the selected hashes with their positions, in their order; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
     points = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
-    points = F.concat(points, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(K) - F.length(text), F.lit(0))))
+    points = F.when(F.length(text) >= K, points).otherwise(F.concat(points, F.array_repeat(F.lit(0).cast("long"), F.lit(K) - F.length(text))))
 
     def runs(v: Column, m: int = 1) -> Column:
         if 2 * m == K:
             both = lambda a, i: F.shiftleft(a, m).bitwiseXOR(F.get(v, i + m))
-            return F.transform(F.slice(v, F.lit(1), F.size(v) - (K - 1)), lambda a, i: both(a, i).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long")))
+            return F.transform(v, lambda a, i: both(a, i).bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR((F.lit(_LAST_POSITION) - i).cast("long")))
         return _let(F.zip_with(v, _shifted(v, m), lambda a, b: F.shiftleft(a, m).bitwiseXOR(b)), lambda h: runs(h, 2 * m))
 
     def minima(v: Column, step: int = 1) -> Column:
@@ -65,7 +65,8 @@ def selected(text: Column) -> Column:
         return _let(F.zip_with(v, _shifted(v, step), lambda a, b: F.least(a, b)), lambda m: minima(m, 2 * step))
 
     def windows(v: Column) -> Column:
-        return F.array_distinct(F.slice(minima(v), F.lit(1), F.greatest(F.size(v) - (W - 1), F.lit(1))))
+        # the last K - 1 elements are null, for runs that the text hasn't, and are no minimum
+        return F.array_distinct(F.slice(minima(v), F.lit(1), F.greatest(F.size(v) - (SPAN - 1), F.lit(1))))
 
     return F.when(text == "", F.array().cast("array<long>")).otherwise(_let(points, lambda v: _let(runs(v), windows)))
 
