@@ -67,6 +67,8 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, answer: Callable, sch
     nq, nc = (max(1, -(-x.count() // BLOCK)) for x in (queries, candidates))
     a = _packed(queries, nq, "q", same_group)
     b = _packed(candidates, nc, "c", same_group)
+    # packed rows are far larger than Spark takes them to be, and would be broadcast through the driver
+    b = b.hint("merge")
     if same_group:
         both = a.join(b, F.col("qpool") == F.col("cpool"))
     else:

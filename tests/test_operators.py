@@ -280,6 +280,15 @@ def test_blocked_answers_against_brute_force(spark, monkeypatch):
     assert got["isotropy"] == pytest.approx(values[-1] / values[0]) and got["effective_dimensions"] == 1 + int(np.searchsorted(np.cumsum(values**2) / (values**2).sum(), 0.95))
 
 
+@pytest.mark.parametrize("same_group", [False, True])
+def test_blocks_are_never_broadcast(spark, same_group):
+    rows = spark.createDataFrame([(i, i % 2, [1.0, float(i)]) for i in range(20)], "id long, grp long, v array<double>")
+    pairs = vectors.block_pairs(rows, rows, lambda qi, *_: (qi,), "query_id long", ["query_id"], same_group=same_group)
+    assert pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_mean_pool_against_brute_force(spark):
     r = np.random.default_rng(6)
     v = r.normal(size=(9, 4))
