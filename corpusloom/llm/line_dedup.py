@@ -8,9 +8,13 @@ a window, so two texts that share the run select the same line in it, at the sam
 
 Positions are joined on the selected hash: each place is held against the first one, by document and
 position, that has it, which is one row a place, however many copies there are. Such a match is
-extended both ways, word by word, over the words that a window can reach to either side; a match
-that grows to MIN_WORDS words or more is a repeated run. Successive selected lines of a run overlap
-and each extends past its neighbours, so their runs together cover the whole of it.
+extended both ways, word by word, over the windows that select the line; a match that grows to
+MIN_WORDS words or more is a repeated run. Every window selects one line, so that the runs of
+successive lines together cover the whole of what is repeated.
+
+A window that differs from the one around the first place may still be repeated: its first place is
+then another one. Such windows go on by their own hashes, each held against its first place. They are
+dealt by the line and the words up to the first that differs, which equal windows have in common.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.runtime import bound_arrow_batches, durable
 
@@ -29,6 +34,8 @@ from corpusloom.runtime import bound_arrow_batches, durable
 MIN_WORDS = 50
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
+#: More than the words of a line and its windows.
+REACH = 1 << 15
 #: Bytes that are hashed together.
 _CHUNK = 1 << 19
 _SPACE = np.zeros(256, dtype=bool)
@@ -94,9 +101,14 @@ def selected(words: np.ndarray, ends: np.ndarray, min_words: int = MIN_WORDS) ->
 
     words, ends: hashes of the words of all texts and where each text ends; a window lies within a text.
     """
+    return _selected(words, ends, min_words)[:2]
+
+
+def _selected(words: np.ndarray, ends: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """`selected`, and how many words the windows that select a line reach before and after it."""
     n = len(words) - min_words + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     window = window_of(min_words)
     begin = np.arange(len(words) - min_words + window)
     h = _rolled(words, begin, begin + (min_words - window + 1))
@@ -110,8 +122,12 @@ def selected(words: np.ndarray, ends: np.ndarray, min_words: int = MIN_WORDS) ->
     text = np.searchsorted(ends, begin[:n], side="right")
     within = begin[:n] + min_words <= ends[text]
     at = (np.uint64(0xFFFFFFFF) - (least[within] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, h[at].view(np.int64)
+    if not len(at):
+        return (np.zeros(0, np.int64),) * 4
+    starts = np.flatnonzero(within)
+    fresh = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at, last = at[fresh], starts[np.append(fresh[1:], len(starts)) - 1]
+    return at, h[at].view(np.int64), at - starts[fresh], last - at + window - 1
 
 
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -127,34 +143,36 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def fingerprints(keyed: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """key, doc_id, at, fp (arrays) of every text that has any. keyed: key, doc_id, text."""
+    """key, doc_id, at, fp, reach (arrays) of every text that has any. keyed: key, doc_id, text.
+
+    reach: the words before a line that its windows hold, times REACH, and those after it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _groups(pc.cast(batch.column(2), pa.binary()).to_pylist()):
                 words, ends = word_hashes(texts)
-                at, fp = selected(words, ends, min_words)
+                at, fp, before, after = _selected(words, ends, min_words)
                 if len(at):
                     cuts = np.searchsorted(at, np.concatenate([[0], ends]))
                     some = np.flatnonzero(np.diff(cuts))
                     own = at - np.concatenate([[0], ends])[np.searchsorted(ends, at, side="right")]
                     offsets = pa.array(np.concatenate([[0], cuts[1:][some]]), pa.int32())
-                    places = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own.astype(np.int32), fp)]
+                    places = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (own.astype(np.int32), fp, (before * REACH + after).astype(np.int32))]
                     rows = pa.array(first + some)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *places], ["key", "doc_id", "at", "fp"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *places], ["key", "doc_id", "at", "fp", "reach"])
 
-    return keyed.mapInArrow(run, "key long, doc_id long, at array<int>, fp array<long>")
+    return keyed.mapInArrow(run, "key long, doc_id long, at array<int>, fp array<long>, reach array<int>")
 
 
 def _contexts(keyed: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """fp, key, at, before, after: the words on both sides of the places asked for, nearest first.
+    """fp, key, doc_id, at, before, after: the words on both sides of the places asked for, nearest first.
 
     keyed: key, text, and all other columns, so that the texts are dealt by key once for every use;
-    wanted: key, at, fp. Rows with one key are alike and come together, so that the first of them
-    answers for all.
+    wanted: key, doc_id, at, fp, reach. Rows with one key are alike and come together, so that the
+    first of them answers for all.
     """
-    window = window_of(min_words)
-    length, reach = min_words - window + 1, window - 1
+    length = min_words - window_of(min_words) + 1
     place = keyed.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,20 +189,20 @@ def _contexts(keyed: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                 rows = fresh[first : first + len(texts)]
                 lists = batch.column(batch.num_columns - 1).take(pa.array(rows))
                 counts, asked = np.diff(lists.offsets.to_numpy()), lists.flatten()
-                at, fp = asked.field("at").to_numpy(), asked.field("fp")
+                at, fp, reach = asked.field("at").to_numpy(), asked.field("fp"), asked.field("reach").to_numpy()
                 low, high = np.repeat(np.concatenate([[0], ends[:-1]]), counts), np.repeat(ends, counts)
                 place_ = low + at
                 sides = []
-                for step, begin, room in ((-1, place_ - 1, place_ - low), (1, place_ + length, high - place_ - length)):
-                    room = np.minimum(room, reach)
+                for step, begin, room in ((-1, place_ - 1, np.minimum(place_ - low, reach // REACH)), (1, place_ + length, np.minimum(high - place_ - length, reach % REACH))):
                     offsets = np.concatenate([[0], np.cumsum(room)])
                     within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], room)
                     sides.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(words[np.repeat(begin, room) + step * within])))
-                yield pa.RecordBatch.from_arrays([fp, pa.array(np.repeat(keys[rows], counts)), pa.array(at), *sides], ["fp", "key", "at", "before", "after"])
+                ids = batch.column(batch.num_columns - 2).take(pa.array(np.repeat(rows, counts)))
+                yield pa.RecordBatch.from_arrays([fp, pa.array(np.repeat(keys[rows], counts)), ids, pa.array(at), *sides], ["fp", "key", "doc_id", "at", "before", "after"])
 
-    asked = wanted.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("at", "fp")).alias("asked"))
+    asked = wanted.groupBy(F.col("key").alias("k")).agg(F.max("doc_id").alias("asked_id"), F.collect_set(F.struct("at", "fp", "reach")).alias("asked"))
     both = keyed.hint("merge").join(asked, F.col("key") == F.col("k")).drop("k")
-    return both.mapInArrow(run, "fp long, key long, at int, before array<int>, after array<int>")
+    return both.mapInArrow(run, "fp long, key long, doc_id long, at int, before array<int>, after array<int>")
 
 
 def _common(a: str, b: str) -> Column:
@@ -193,30 +211,54 @@ def _common(a: str, b: str) -> Column:
     return F.when(differ == 0, F.size(a)).otherwise(differ - 1).cast("int")
 
 
+def _side(until: Column, low: Column, high: Column, reach: int, *known: Column | str) -> Column:
+    """What windows with low to high words before the line have to go on by: none if there is none of them."""
+    hashes = F.transform(F.sequence(high, low), lambda d: F.xxhash64(d, F.slice("before", F.lit(1), d), F.slice("after", F.lit(1), F.lit(reach) - d)))
+    some = F.struct(F.xxhash64("fp", until, *known).alias("deal"), high.alias("most"), hashes.alias("windows"))
+    return F.when(low <= high, some)
+
+
 def repeated_spans(keyed: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """key, begin, end: words of runs that stand at an earlier place too. keyed: key, doc_id, text, and others.
 
     Places are ordered by doc_id (null last), then position. Of a run that overlaps its own first
     place, as in words that are repeated on and on, the first min_words words stay.
     """
-    length = min_words - window_of(min_words) + 1
+    length, reach = min_words - window_of(min_words) + 1, window_of(min_words) - 1
+    if reach >= REACH:
+        raise ValueError(f"runs of {min_words} words are too long")
     found = durable(fingerprints(keyed.select("key", "doc_id", "text"), min_words=min_words))
-    found = found.select("key", "doc_id", F.inline(F.arrays_zip("at", "fp")))
+    found = found.select("key", "doc_id", F.inline(F.arrays_zip("at", "fp", "reach")))
     often = durable(found.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("f")))
     places = durable(found.join(often, F.col("fp") == F.col("f"), "left_semi"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
-    first = durable(places.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select(F.col("fp").alias("f"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at", "reach")
+    first = durable(places.groupBy("fp").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select(F.col("fp").alias("f"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"), F.col("first.reach").alias("first_reach")))
     matched = places.join(first, F.col("fp") == F.col("f"))
     matched = matched.filter((F.col("key") != F.col("first_key")) | (F.col("at") != F.col("first_at")))
     keyed = keyed.drop("doc_id")  # all other columns go on to the end
-    later = _contexts(keyed, matched.select("key", "at", "fp"), min_words)
-    sources = _contexts(keyed, first.select(F.col("first_key").alias("key"), F.col("first_at").alias("at"), F.col("f").alias("fp")), min_words)
+    later = _contexts(keyed, matched.select("key", "doc_id", "at", "fp", "reach"), min_words)
+    sources = _contexts(keyed, first.select(F.col("first_key").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.col("first_at").alias("at"), F.col("f").alias("fp"), F.col("first_reach").alias("reach")), min_words)
     sources = sources.select(F.col("fp").alias("f"), F.col("key").alias("first_key"), F.col("at").alias("first_at"), F.col("before").alias("b"), F.col("after").alias("a"))
     both = later.join(sources, F.col("fp") == F.col("f")).withColumn("left", _common("before", "b")).withColumn("right", _common("after", "a"))
-    both = both.filter(F.col("left") + F.col("right") + length >= min_words)
     begin, end = F.col("at") - F.col("left"), F.col("at") + length + F.col("right")
     begin = F.when(F.col("key") == F.col("first_key"), F.greatest(begin, F.col("first_at") - F.col("left") + min_words)).otherwise(begin)
-    return both.select("key", begin.cast("int").alias("begin"), end.cast("int").alias("end")).filter("begin < end")
+    same = F.when((F.col("left") + F.col("right") + length >= min_words) & (begin < end), F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end")))
+    # windows with so many words before the line that they differ there from the first place's; then those that differ after it alone
+    low, high = F.lit(reach) - F.size("after"), F.size("before")
+    before = _side(F.lit(-1) - F.col("left"), F.greatest(low, F.col("left") + 1), high, reach, F.slice("before", F.lit(1), F.col("left") + 1))
+    after = _side(F.col("right"), low, F.least(high, F.col("left"), F.lit(reach - 1) - F.col("right")), reach, F.slice("after", F.lit(1), F.col("right") + 1))
+    # a row for each side that goes on, or one without any; the run that is found already goes with the first
+    rows = both.select("key", "doc_id", "at", same.alias("same"), F.filter(F.array(before, after), lambda x: x.isNotNull()).alias("sides"))
+    rows = rows.filter(F.col("same").isNotNull() | (F.size("sides") > 0)).select("key", "doc_id", "at", "same", F.posexplode_outer("sides").alias("n", "side"))
+    rows = rows.select(F.coalesce("side.deal", "key").alias("deal"), "key", "doc_id", "at", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("same")).alias("same"), F.col("side.most").alias("most"), F.col("side.windows").alias("windows"))
+    dealt = rows.repartition("deal").select("deal", "key", "doc_id", "at", "same", "most", F.posexplode_outer("windows").alias("i", "hash"))
+    start = F.col("at") - F.col("most") + F.col("i")
+    dealt = dealt.select("deal", "key", "doc_id", "hash", start.alias("start"), F.when(F.coalesce("i", F.lit(0)) == 0, F.col("same")).alias("same"))
+    order = Window.partitionBy("deal", "hash").orderBy(F.col("doc_id").isNull(), "doc_id", "key", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = dealt.withColumn("first", F.first(F.struct("key", "start")).over(order))
+    begin = F.when(F.col("key") == F.col("first.key"), F.greatest("start", F.col("first.start") + min_words)).otherwise(F.col("start"))
+    again = F.when(F.col("hash").isNotNull() & (F.struct("key", "start") != F.col("first")), F.struct(begin.alias("begin"), (F.col("start") + min_words).alias("end")))
+    return held.select("key", F.inline(F.filter(F.array("same", again), lambda x: x.isNotNull()))).filter("begin < end")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -149,6 +149,24 @@ def test_passages_against_brute_force(spark):
     assert len(untouched) > 40 and all(got[i] == t for i, t in untouched.items())
 
 
+def test_passages_whose_lines_come_before_elsewhere(spark):
+    """A line's first place may share less than a passage with later places that share more with each other."""
+    r = random.Random(7)
+    common = words(r, 40, 5000).split()
+    rows = [(i, " ".join([words(r, 30, 5000), *common, words(r, 30, 5000)])) for i in range(2)]
+    kinds = [(words(r, n, 5000).split(), words(r, m, 5000).split()) for n, m in ((30, 30), (0, 40), (40, 0), (5, 7), (12, 0))]
+    for i in range(2, 40):
+        before, after = kinds[i % 5]
+        cut = r.randint(0, 20)
+        rows.append((i if i % 7 else None, " ".join([words(r, 9, 5000), *before[cut:], *common, *after[: len(after) - cut // 2], words(r, 9, 5000)])))
+    rows.append((41, " ".join([rows[3][1], rows[4][1], rows[3][1]])))
+    for least in (20, 50):
+        want = brute_lines(sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), least)
+        ids = [i for i, _ in rows if i is not None]
+        got = {x.doc_id: x.text for x in line_dedup.drop_repeated_lines(frame(spark, rows).repartition(3), min_words=least).collect() if x.doc_id is not None}
+        assert {i: got[i].split() for i in ids} == {i: want[i] for i in ids}
+
+
 def test_winnowing_keeps_its_guarantee():
     """Few lines are selected, and of every run of min_words words a text selects the same lines as any other text."""
     r = random.Random(3)
