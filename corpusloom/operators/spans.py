@@ -8,10 +8,14 @@ from pyspark.sql.window import Window
 
 
 def merge_overlapping(spans: DataFrame, *by: str) -> DataFrame:
-    """Spans that overlap or touch become one; rows of by..., begin, end."""
-    order = Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.withColumn("__new", F.coalesce(F.col("begin") > F.max("end").over(order), F.lit(True)).cast("int"))
-    grouped = marked.withColumn("__group", F.sum("__new").over(Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    """Spans that overlap or touch become one; rows of by..., begin, end.
+
+    Null bounds come last: such a span begins nothing, unless there is no bound at all before it.
+    """
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last("begin"), F.asc_nulls_last("end"))
+    latest = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("__new", F.coalesce(latest.isNull() | (F.col("begin") > latest), F.lit(False)).cast("int"))
+    grouped = marked.withColumn("__group", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(*by, "__group").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("__group")
 
 

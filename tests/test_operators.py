@@ -250,6 +250,18 @@ def test_spans(spark):
     assert arrays.select(spans.ordered(F.col("m")).alias("o")).first()["o"] is True
 
 
+def test_spans_with_nulls_as_in_sql(spark, tmp_path):
+    import __spark_entry__
+    import oracle
+
+    ids = [*range(0, 400, 7), None, None]
+    rows = spark.createDataFrame([(i, u) for u in (1, 2, None) for i in ids] + [(None, 3), (None, 3), (5, 4)], "event_id long, user_id long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert oracle.differences(spark, con, __spark_entry__.queries()["merge_spans"], __spark_entry__.oracle_sql()["merge_spans"], str(tmp_path)) == ""
+
+
 def test_contained_passages(spark):
     d = docs(spark, [(1, "x A quick Brown fox jumps over the lazy dog today y"), (2, "nothing here"), (3, "quick")])
     b = spark.createDataFrame([(1, "a quick brown fox jumps over the lazy dog"), (2, "quick"), (3, "")], "item_id long, text string")
