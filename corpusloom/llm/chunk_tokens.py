@@ -22,6 +22,8 @@ _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 
 #: Characters of a chunk that is remembered at most: with their number, this bounds the memory.
 LONGEST = 64
+#: Chunks and words that a worker remembers at most.
+KEEP = 200_000
 
 
 class ChunkTokenizer:
@@ -30,10 +32,11 @@ class ChunkTokenizer:
     For a tokenizer that lower-cases, drops white space and marks word ends, the ids of a text are
     those of its white-space chunks in order, and those of a chunk are those of its words. Chunks
     and words are remembered within a bound (a word is the chunk of itself), the first of them in a
-    memory of their own that stays small; new words go to the library's model.
+    memory of their own that stays small; new words go to the library's model. When half the bound is
+    full it becomes the older half, whose words are dropped unless they come again before the next is.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000, hot: int = 16_000):
+    def __init__(self, path: str, keep: int = KEEP, hot: int = 16_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -45,13 +48,25 @@ class ChunkTokenizer:
         self.letters = {b: c for c, b in byte_letters().items()}
         self.keep, self.most_hot = keep, hot
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.hot: dict[str, bytes] = {}
 
     def _learn_word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
         ids = array.array("I", [t.id for t in self.tokenize(letters)]).tobytes()
-        if len(word) <= LONGEST:
-            self.known[word] = ids
+        self._remember(word, ids)
+        return ids
+
+    def _remember(self, chunk: str, ids: bytes) -> None:
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= self.keep // 2:
+                self.known, self.older = {}, self.known
+            self.known[chunk] = ids
+
+    def _remembered(self, chunk: str) -> bytes | None:
+        ids = self.known.get(chunk)
+        if ids is None and (ids := self.older.get(chunk)) is not None:
+            self._remember(chunk, ids)
         return ids
 
     def _words(self, chunk: str) -> list[str]:
@@ -64,15 +79,12 @@ class ChunkTokenizer:
         return _WORD.findall(self.library.normalizer.normalize_str(chunk))
 
     def _learn(self, chunk: str) -> bytes:
-        known = self.known
         if self.special.search(chunk):
             ids = array.array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
         else:
-            ids = b"".join([known[w] if w in known else self._learn_word(w) for w in self._words(chunk)])
-        if len(chunk) > LONGEST:
-            return ids
-        known[chunk] = ids
-        if len(self.hot) < self.most_hot:
+            ids = b"".join([self._remembered(w) or self._learn_word(w) for w in self._words(chunk)])
+        self._remember(chunk, ids)
+        if len(chunk) <= LONGEST and len(self.hot) < self.most_hot:
             self.hot[chunk] = ids
         return ids
 
@@ -83,11 +95,9 @@ class ChunkTokenizer:
             rare = list(itertools.compress(chunks, map(operator.not_, ids)))
             more = list(map(self.known.get, rare))
             if None in more:
-                get, learn = self.known.get, self._learn
+                get, learn = self._remembered, self._learn
                 # a chunk may come again in the same text
                 more = [get(c) or learn(c) if x is None else x for c, x in zip(rare, more, strict=True)]
-                if len(self.known) > self.keep:  # those first seen are the frequent ones
-                    self.known = dict(itertools.islice(self.known.items(), self.keep // 2))
             fill = iter(more)
             ids = [next(fill) if x is None else x for x in ids]
         return b"".join(ids)

@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Machine()
     sample = [r for y in (0, 1) for r in usable.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LABEL).collect()]
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["id"], r["y"]) for r in sample], "id long, y int")  # 2 * SAMPLE_PER_LABEL rows at most
+    # 2 * SAMPLE_PER_LABEL rows at most; as a table, since a list would start Python workers of another kind on the executors
+    chosen = spark.createDataFrame(pa.table({"id": pa.array([r["id"] for r in sample], pa.int64()), "y": pa.array([r["y"] for r in sample], pa.int32())}))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = durable(texts.join(F.broadcast(chosen), "id").select("y", "text"))
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}

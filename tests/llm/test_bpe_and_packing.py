@@ -44,6 +44,21 @@ def test_chunk_tokens_equal_the_library():
             assert array.array("I", ours.encode(text)).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_chunk_tokens_remember_so_many_words():
+    """Within a long text too; what comes again stays known, and a forgotten word is learned again."""
+    ours, library = ChunkTokenizer(WORD), Tokenizer.from_file(WORD)
+    size = lambda: len(ours.known) + len(getattr(ours, "older", ()))
+    texts = [" ".join(f"Again, w{i:x}z{i}q." for i in range(at, at + n)) for at, n in ((0, 20_000), (20_000, 200_000), (0, 1_000))]
+    for text in texts:
+        ids = ours.encode(text)
+        assert size() <= 200_000 and len(ours.hot) <= 16_000
+    assert array.array("I", ids).tolist() == library.encode(text, add_special_tokens=False).ids
+    ours = ChunkTokenizer(WORD, keep=40, hot=0)
+    for i in range(200):
+        ours.encode(f"again w{i}")
+        assert "again" in ours.known or "again" in ours.older
+
+
 def test_encode_digests(spark):
     rows = [(1, "Hello there, world", 1.0, "x", "y"), (2, None, None, None, None), (2, "", 0.0, "", ""), (None, "ünï <|endoftext|> x", 0.0, "", "")]
     got = bpe.encode_digests(spark.createDataFrame(rows, SCHEMA), BYTE).collect()

@@ -428,6 +428,14 @@ def test_toxicity_held_out(spark):
     assert {x.doc_id for x in kept.collect()} == {i for i in got if not got[i].predicted}
 
 
+def test_toxicity_starts_no_other_python_workers(spark, monkeypatch):
+    """Rows that go through an RDD start Python workers besides those of the Arrow functions; they stay in an executor's memory."""
+    rows, labels = labelled()
+    docs, marks = frame(spark, rows), spark.createDataFrame([(i, t) for i, t, _ in labels], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)
+    assert toxicity.fit(docs, marks).trained
+
+
 def test_toxicity_learns_no_held_out_label(spark):
     rows, labels = labelled()
     docs = frame(spark, rows)
