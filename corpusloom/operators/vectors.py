@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from corpusloom.runtime import bound_arrow_batches
 
 BLOCK = 2048
+#: Candidates that a task of a search holds at once.
+HELD_BYTES = 32 << 20
 #: Similarities are compared after rounding to so many places, so that their order doesn't depend on how sums were made.
 PLACES = 9
 ZERO = 1e-12
@@ -87,26 +89,81 @@ def block_pairs(queries: DataFrame, candidates: DataFrame, answer: Callable, sch
     return both.mapInArrow(run, schema)
 
 
+def _better(best: tuple | None, qi: np.ndarray, ci: np.ndarray, cg: np.ndarray, sim: np.ndarray, k: int) -> tuple:
+    """The k best so far of each query after one more block: query ids, rows, ids, groups, similarities and each row's k-th best.
+
+    ci goes up; -inf is no candidate. Of a row's equal similarities at the bound only the smallest ids are taken,
+    so that a block never gives more than k a row.
+    """
+    floor = np.full(len(qi), -np.inf) if best is None else best[5]
+    mask = (sim >= floor[:, None]) & (sim > -np.inf)
+    if np.count_nonzero(mask) > 4 * k * len(qi) and k < len(ci):
+        bound = np.partition(sim, len(ci) - k, axis=1)[:, len(ci) - k]
+        above, level = sim > bound[:, None], sim == bound[:, None]
+        room = k - above.sum(axis=1)
+        crowded = np.flatnonzero(level.sum(axis=1) > room)
+        level[crowded] &= np.cumsum(level[crowded], axis=1, dtype=np.int32) <= room[crowded, None]
+        mask &= above | level
+    rows, cols = np.nonzero(mask)
+    ids, groups, scores = ci[cols], cg[cols], sim[rows, cols]
+    if best is not None:
+        rows, ids, groups, scores = (np.concatenate(x) for x in zip(best[1:5], (rows, ids, groups, scores), strict=True))
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, groups, scores = rows[order], ids[order], groups[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    floor = np.full(len(qi), -np.inf)
+    floor[rows[place == k - 1]] = scores[place == k - 1]
+    kept = place < k
+    rows = rows[kept]
+    return qi[rows], rows, ids[kept], groups[kept], scores[kept], floor
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, *, not_self: bool = True, other_group: bool = False) -> DataFrame:
     """query_id, rank, id, grp, score: the k most similar candidates by cosine, ties to the smaller id.
 
     Both sides: id, grp, v (null groups allowed). Zero vectors are neither found nor answered. With
     `other_group`, candidates of the query's own group are left out before the ranking.
+
+    A task holds HELD_BYTES of candidates and goes through them a block at a time for each block of queries;
+    the k best so far of each query are all that it keeps and passes on.
     """
-    def answer(qi, qg, _, ci, cg, sim):
-        if not_self:
-            sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
-        if other_group:
-            sim = np.where(qg[:, None] == cg[None, :], -np.inf, sim)
-        order = np.lexsort((np.broadcast_to(ci, sim.shape), -sim), axis=1)[:, : min(k, len(ci))]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        cols = order.ravel()
-        real = np.isfinite(sim[rows, cols])
-        rows, cols = rows[real], cols[real]
-        return qi[rows], ci[cols], cg[cols], sim[rows, cols]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, qi, qg, qv, ci, cg, cv = (batch.column(j)[i].as_py() for j in range(7))
+                qi, qg, ci, cg = (np.frombuffer(x, dtype="<i8") for x in (qi, qg, ci, cg))
+                qv, cv = (np.frombuffer(x, dtype="<f8").reshape(n, -1) for x, n in ((qv, len(qi)), (cv, len(ci))))
+                order = np.argsort(ci, kind="stable")
+                ci, cg = ci[order], cg[order]
+                sim = np.round(qv @ cv[order].T, PLACES)
+                sim[~np.isfinite(sim)] = -np.inf
+                if not_self:
+                    sim[qi[:, None] == ci[None, :]] = -np.inf
+                if other_group:
+                    sim[qg[:, None] == cg[None, :]] = -np.inf
+                if block != at:
+                    if best is not None:
+                        yield named(*best)
+                    at, best = block, None
+                best = _better(best, qi, ci, cg, sim, k)
+        if best is not None:
+            yield named(*best)
+
+    def named(queries, _, ids, groups, scores, __):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (queries, ids, groups, scores)], ["query_id", "id", "grp", "score"])
 
     some = norm(F.col("v")) > 0
-    found = block_pairs(queries.filter(some), candidates.filter(some), answer, "query_id long, id long, grp long, score double", ["query_id", "id", "grp", "score"])
+    queries, candidates = queries.filter(some), candidates.filter(some)
+    bound_arrow_batches(queries.sparkSession)
+    nq = max(1, -(-queries.count() // BLOCK))
+    size = candidates.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    nc = max(1, -(-size["n"] // BLOCK))
+    groups = -(-nc // max(1, HELD_BYTES // (BLOCK * size["d"] * 8)))
+    # a cross join of partitions: blocks are written once and read by each task that needs them, so that disk grows with the rows, not with their pairs
+    a = _packed(queries, nq, "q", False).repartition(nq)
+    b = _packed(candidates, nc, "c", False).repartition(groups).hint("shuffle_replicate_nl")
+    found = a.crossJoin(b).select("qblock", "qids", "qgroups", "qvectors", "cids", "cgroups", "cvectors").mapInArrow(run, "query_id long, id long, grp long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "grp", "score")
 

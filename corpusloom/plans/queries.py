@@ -812,17 +812,20 @@ def mean_pairwise_similarity(spark, sf):
     return out.select(F.round("mean_similarity", 6).alias("mean_similarity"), "pairs")
 
 
-@query(f"""WITH {S_VEC}, n AS (SELECT a.vec_id AS q, (a.label = b.label)::INT AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S_SIM} DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0 QUALIFY rank <= 20),
-h AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY rank) AS hits FROM n), rel AS (SELECT a.vec_id AS q, (SELECT count(*) - 1 FROM e b WHERE b.label = a.label) AS n FROM e a WHERE a.vec_id % 10 = 0),
+@query(f"""WITH {S_VEC}, n AS (SELECT a.vec_id AS q, (a.label = b.label)::INT AS hit, row_number() OVER (PARTITION BY a.vec_id ORDER BY {S_SIM} DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id QUALIFY rank <= 20),
+h AS (SELECT *, sum(hit) OVER (PARTITION BY q ORDER BY rank) AS hits FROM n), rel AS (SELECT a.vec_id AS q, (SELECT count(*) - 1 FROM e b WHERE b.label = a.label) AS n FROM e a),
 m AS (SELECT q, sum(CASE WHEN rank <= 10 THEN hit ELSE 0 END) AS k, sum(hit * hits / rank) AS ap, min(CASE WHEN hit = 1 THEN rank END) AS first, sum(CASE WHEN rank <= 10 THEN hit / log2(rank + 1) ELSE 0 END) AS dcg FROM h GROUP BY q)
 SELECT q AS query_id, round(k / 10, 6) AS precision, round(coalesce(k / nullif(n, 0), 0), 6) AS recall, round(coalesce(2 * (k / 10) * (k / nullif(n, 0)) / nullif(k / 10 + k / nullif(n, 0), 0), 0), 6) AS f1, round(coalesce(ap / nullif(n, 0), 0), 6) AS average_precision, round(coalesce(1 / first, 0), 6) AS reciprocal_rank,
 round(CASE WHEN n > 0 THEN dcg / list_sum(list_transform(range(1, greatest(least(n, 10), 1) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM m JOIN rel USING (q)""")
 def rank_metrics(spark, sf):
+    """Every vector asks all others. A null label is like no other: its row has zeros."""
     rows = vectors_of(spark, sf)
-    asked = rows.filter("id % 10 = 0")
-    near = vectors.top_k(asked, rows, 20).join(asked.select(F.col("id").alias("query_id"), F.col("grp").alias("own")), "query_id").withColumn("hit", (F.col("grp") == F.col("own")).cast("int"))
+    # labels are ints, so no label equals what stands for null
+    told = rows.withColumn("grp", F.coalesce("grp", F.lit(1 << 40)))
+    near = vectors.top_k(told, told, 20).join(rows.select(F.col("id").alias("query_id"), F.col("grp").alias("own")), "query_id").withColumn("hit", (F.col("grp") == F.col("own")).cast("int"))
     sizes = rows.groupBy("grp").agg((F.count("*") - 1).alias("n"))
-    out = evaluate.rank_metrics(near.select("query_id", "rank", "hit"), asked.join(sizes, "grp").select(F.col("id").alias("query_id"), "n"), 10)
+    relevant = rows.join(sizes, "grp", "left").select(F.col("id").alias("query_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    out = evaluate.rank_metrics(near.select("query_id", "rank", "hit"), relevant, 10)
     return out.select("query_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 

@@ -301,6 +301,36 @@ def test_blocks_are_never_broadcast(spark, same_group):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_searches_keep_all_ties_and_every_row(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "HELD_BYTES", 16 * 3 * 8 * 2)
+    r = np.random.default_rng(8)
+    v = r.integers(-1, 2, size=(150, 3)).astype(float)
+    v[20:90], v[7] = [1.0, 1.0, 0.0], 0.0
+    ids = r.permutation(150)
+    frame = spark.createDataFrame([(int(i), int(i) % 3, x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, grp long, v array<double>")
+    known = {int(i): x / np.linalg.norm(x) for i, x in zip(ids, v, strict=True) if x.any()}
+    for how in ({}, {"other_group": True}, {"not_self": False}):
+        got = {}
+        for x in vectors.top_k(frame, frame, 5, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append(x["id"])
+        far = lambda i, j: (not how.get("other_group") or i % 3 != j % 3) and (i != j or how.get("not_self") is False)
+        assert got == {i: sorted((j for j in known if far(i, j)), key=lambda j: (-round(float(known[i] @ known[j]), vectors.PLACES), j))[:5] for i in known}
+
+
+def test_rank_metrics_asks_with_every_vector(spark, tmp_path):
+    import __spark_entry__
+    import oracle
+
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=4).tolist(), None if i % 17 == 3 else i % 4 - 1) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert __spark_entry__.queries()["rank_metrics"](spark, str(tmp_path)).count() == 60
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert oracle.differences(spark, con, __spark_entry__.queries()["rank_metrics"], __spark_entry__.oracle_sql()["rank_metrics"], str(tmp_path)) == ""
+
+
 def test_mean_pool_against_brute_force(spark):
     r = np.random.default_rng(6)
     v = r.normal(size=(9, 4))
